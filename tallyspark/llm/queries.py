@@ -9,6 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import prepare, table
 
 
+def tokenizer(name: str) -> str:
+    """The place of a public tokenizer's file; the same on all machines."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import quality_rules as q
 
@@ -18,6 +25,13 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
 
 
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import bpe
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return bpe.digests(docs, tokenizer("word_bpe_49k.json")).drop("text")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
