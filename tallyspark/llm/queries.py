@@ -25,6 +25,12 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import packing
+
+    return packing.pieces_with_checksums(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import bpe
 
