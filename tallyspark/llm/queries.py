@@ -17,6 +17,12 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import near_dup
+
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"), size=4, per_cent=80)
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import quality_rules as q
 
