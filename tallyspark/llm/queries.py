@@ -17,6 +17,13 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import quality_classifier as q
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return q.quality_scores(docs, table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
+
+
 def op2_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import near_dup
 
