@@ -1,7 +1,7 @@
 """Quality classifier: nearest-neighbour voting among latent-semantic vectors.
 
-A text is a vector of term weights in two blocks of equal length: the most frequent words of the
-labelled sample, and marks of form (kinds of words, punctuation, repeated words and lines). A
+A text is a vector of term weights in two blocks: the most frequent words of the labelled sample, and
+marks of form (kinds of words, punctuation, repeated words and lines), which weigh more. A
 truncated SVD of the sample's matrix projects both into a latent space. The labelled vectors are
 broadcast, a size bounded by SAMPLE * RANK numbers; every text meets all of them in exact blocked
 cosine products, and the labels of its NEIGHBOURS nearest vote, weighted by similarity.
@@ -25,6 +25,8 @@ from .common import cut, labelled_sample, prepare, with_arrow_columns
 #: Labelled rows that the vectors are made of, at most.
 SAMPLE = 4000
 WORDS, RANK, NEIGHBOURS, BLOCK = 2048, 64, 25, 1024
+#: Length of the words' block; the block of form has length 1.
+CONTENT = 0.3
 #: A text is accepted from this score on.
 ACCEPT = 0.7
 #: Marks of form: words in upper case, capitalised, lower case, with digits, with symbols inside or at the
@@ -118,13 +120,14 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 
 def _weights(counts: np.ndarray, weight: np.ndarray, words: int) -> np.ndarray:
-    lines = counts[:, words + 10 : words + 11]
+    """Logarithms of the words' rates, and square roots of the marks' rates, so that a few marks in a long text count little."""
     total = np.maximum(counts[:, words : words + 3].sum(axis=1, keepdims=True), 1)
-    x = np.log1p(counts * (1000 / total))
-    x[:, words + 9] = np.log1p(1000 * counts[:, words + 9] / np.maximum(lines[:, 0], 1))
-    x[:, words + 10] = 0
-    x *= weight
-    return np.concatenate([_unit(x[:, :words]) * 0.5, _unit(x[:, words:])], axis=1).astype(np.float32)
+    content = np.log1p(counts[:, :words] * (1000 / total)) * weight[:words]
+    form = counts[:, words:] / total
+    form[:, 9] = counts[:, words + 9] / np.maximum(counts[:, words + 10], 1)
+    form[:, 10] = 0
+    form = np.sqrt(form) * weight[words:]
+    return np.concatenate([_unit(content) * CONTENT, _unit(form)], axis=1).astype(np.float32)
 
 
 def train(counts: np.ndarray, labels: np.ndarray, vocabulary: np.ndarray, seed: int = 5) -> Model:
