@@ -83,3 +83,12 @@ def with_arrow_columns(df: DataFrame, fields: str, compute) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     return df.mapInArrow(run, schema)
+
+
+#: Rows of at most about 40 bytes that a join may broadcast, after they are counted.
+BROADCAST_ROWS = 200_000
+
+
+def light(df: DataFrame) -> DataFrame:
+    """df marked for broadcast if it has few rows; else unmarked, for a shuffled join. df should be cut: it's counted."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytescan import U64, mix, scans, windows
-from .common import cut, prepare
+from .common import cut, light, prepare
 from .components import components
 
 #: Bands and hashes in each: a pair at 0.8 shares no band with probability 3e-6.
@@ -180,8 +180,8 @@ def _prune_pairs(pairs: DataFrame, nodes: DataFrame, threshold: float, miss: flo
 def _confirm(pairs: DataFrame, docs: DataFrame, size: int, per_cent: int) -> DataFrame:
     """The pairs that are linked by their full sets."""
     pairs = cut(pairs, "pairs")
-    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    sets = cut(full_sets(docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi"), size), "sets")
+    wanted = cut(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "wanted")
+    sets = cut(full_sets(docs.select("doc_id", "text").join(light(wanted), "doc_id", "left_semi"), size), "sets")
     both = (
         pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a")
         .join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), "b")

@@ -45,6 +45,13 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pieces_with_checksums(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import line_dedup
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.dedup_lines(docs).select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), "n_links", "removed", "text")
+
+
 def op9_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import tiff
 
