@@ -7,7 +7,9 @@
    a similarity over the threshold falls under the chosen miss probability. Survivors are confirmed on
    their full sets.
 4. Where a bucket's members still belong to several components, those that aren't of the largest are
-   compared with all others, in blocks of bounded size; so no link that the bands offer is lost.
+   compared with all others, in blocks of bounded size: in a first round their likeliest pairs are
+   confirmed, in a second all plausible ones that may still join two components. So no link that the
+   bands offer between two components is lost.
 5. Components come from star rounds over the confirmed links.
 
 Texts that are null, empty or without words have no shingles and are linked with nothing. A row
@@ -30,13 +32,17 @@ from .components import components
 
 #: Bands and hashes in each: a pair at 0.8 shares no band with probability 3e-6.
 BANDS, DEPTH = 32, 5
+#: Hashes of a signature, those of the bands first; more of them part similarities more sharply.
+HASHES = 320
 #: Hashes that are compared before the next look at the posterior.
 BATCH = 32
+#: Pairs that a text proposes in a block of a bucket, the likeliest ones, before all the others are tried.
+BEST = 4
 #: Members of a bucket that are compared with each other at once.
 BLOCK = 256
 _draw = np.random.Generator(np.random.PCG64(77))
-_SCALE = (_draw.integers(0, 2**31, BANDS * DEPTH, dtype=np.int64) * 2 + 1).astype(np.uint32)
-_SHIFT = _draw.integers(0, 2**32, BANDS * DEPTH, dtype=np.int64).astype(np.uint32)
+_SCALE = (_draw.integers(0, 2**31, HASHES, dtype=np.int64) * 2 + 1).astype(np.uint32)
+_SHIFT = _draw.integers(0, 2**32, HASHES, dtype=np.int64).astype(np.uint32)
 
 
 def shingle_sets(scan, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -65,9 +71,9 @@ def signatures(keys: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nda
     """One byte a hash (rows x hashes) and the band keys (rows x bands) of non-empty sets."""
     low = (keys >> U64(32)).astype(np.uint32)
     starts = bounds[:-1]
-    out = np.empty((BANDS * DEPTH, len(starts)), np.uint32)
+    out = np.empty((HASHES, len(starts)), np.uint32)
     held = np.empty_like(low)
-    for k in range(BANDS * DEPTH):
+    for k in range(HASHES):
         np.multiply(low, _SCALE[k], out=held)
         np.add(held, _SHIFT[k], out=held)
         out[k] = np.minimum.reduceat(held, starts)
@@ -89,7 +95,7 @@ def least_matches(threshold: float, miss: float) -> tuple[tuple[int, int], ...]:
     grid = (np.arange(20_000) + 0.5) / 20_000
     chance = grid + (1 - grid) / 256
     out = []
-    for n in range(BATCH, BANDS * DEPTH + 1, BATCH):
+    for n in range(BATCH, HASHES + 1, BATCH):
         for m in range(n + 1):
             log = m * np.log(chance) + (n - m) * np.log1p(-chance)
             weight = np.exp(log - log.max())
@@ -160,7 +166,7 @@ def full_sets(docs: DataFrame, size: int) -> DataFrame:
 
 def _prune_pairs(pairs: DataFrame, nodes: DataFrame, threshold: float, miss: float) -> DataFrame:
     """The pairs (a, b) whose signatures leave a similarity over the threshold plausible."""
-    width = BANDS * DEPTH
+    width = HASHES
     both = (
         pairs.join(nodes.select(F.col("doc_id").alias("a"), F.col("signature").alias("sa"), F.col("n_shingles").alias("na")), "a")
         .join(nodes.select(F.col("doc_id").alias("b"), F.col("signature").alias("sb"), F.col("n_shingles").alias("nb")), "b")
@@ -177,9 +183,10 @@ def _prune_pairs(pairs: DataFrame, nodes: DataFrame, threshold: float, miss: flo
     return both.mapInArrow(run, "a long, b long")
 
 
-def _confirm(pairs: DataFrame, docs: DataFrame, size: int, per_cent: int) -> DataFrame:
-    """The pairs that are linked by their full sets."""
-    pairs = cut(pairs, "pairs")
+def _confirm(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, per_cent: int) -> DataFrame:
+    """The pairs that are linked by their full sets; pairs is cut. The smaller set must be able to hold enough of the larger."""
+    counts = lambda x: nodes.select(F.col("doc_id").alias(x), F.col("n_shingles").alias(f"n{x}"))
+    pairs = cut(pairs.join(counts("a"), "a").join(counts("b"), "b").where(100 * F.least("na", "nb") >= per_cent * F.greatest("na", "nb")).select("a", "b"), "sized")
     wanted = cut(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "wanted")
     sets = cut(full_sets(docs.select("doc_id", "text").join(light(wanted), "doc_id", "left_semi"), size), "sets")
     both = (
@@ -190,11 +197,11 @@ def _confirm(pairs: DataFrame, docs: DataFrame, size: int, per_cent: int) -> Dat
     return both.where(100 * F.col("shared") >= per_cent * (F.size("sa") + F.size("sb") - F.col("shared"))).select("a", "b")
 
 
-def _rest(members: DataFrame, threshold: float, miss: float) -> DataFrame:
+def _rest(members: DataFrame, threshold: float, miss: float, best: int | None) -> DataFrame:
     """Plausible pairs between different components of a bucket, its smallest member left out.
 
     members: key, doc_id, component, signature. Members of other components than the bucket's largest
-    (the queries) meet all members, block by block.
+    (the queries) meet all members, block by block. best: pairs of a query in a block, the likeliest; None: all.
     """
     size = members.groupBy("key", "component").agg(F.count("*").alias("n"))
     largest = size.groupBy("key").agg(F.sum("n").alias("total"), F.max(F.struct("n", "component"))["component"].alias("largest"), F.max("n").alias("most"))
@@ -212,7 +219,7 @@ def _rest(members: DataFrame, threshold: float, miss: float) -> DataFrame:
         "cell", cell(F.col("h") % F.col("qb"), F.col("m")))
     names = ["cell", "asks", "doc_id", "component", "signature"]
     dealt = other.select(*names).union(asks.select(*names)).repartition("cell").sortWithinPartitions("cell", "asks")
-    width = BANDS * DEPTH
+    width = HASHES
 
     def run(batches):
         held: list[pa.RecordBatch] = []
@@ -228,6 +235,8 @@ def _rest(members: DataFrame, threshold: float, miss: float) -> DataFrame:
                 at = y[comp[y] != comp[k]]
                 if len(at):
                     keep = at[plausible(np.broadcast_to(sig[k], (len(at), width)), sig[at], threshold, miss)]
+                    if best is not None and len(keep) > best:
+                        keep = keep[np.argpartition(-(sig[keep] == sig[k]).sum(axis=1), best - 1)[:best]]
                     for j in keep:
                         yield max(ids[k], ids[j]), min(ids[k], ids[j])
 
@@ -261,7 +270,7 @@ def _rest(members: DataFrame, threshold: float, miss: float) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, per_cent: int = 80, miss: float = 1e-6) -> DataFrame:
+def near_duplicates(docs: DataFrame, size: int = 5, per_cent: int = 80, miss: float = 1e-5) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id reachable) and kept of docs (doc_id, text, ...).
 
     Texts are linked if 100 * |common shingles| >= per_cent * |all shingles|; shingles have `size` words.
@@ -279,18 +288,26 @@ def near_duplicates(docs: DataFrame, size: int = 5, per_cent: int = 80, miss: fl
     inside = cut(exploded.join(buckets, "key").where("doc_id > first"), "buckets")
     stars = inside.select(F.col("doc_id").alias("a"), F.col("first").alias("b")).distinct()
     signed = nodes.select("doc_id", "signature", "n_shingles")
-    links = _confirm(_prune_pairs(stars, signed, threshold, miss), docs, size, per_cent)
+    links = _confirm(cut(_prune_pairs(stars, signed, threshold, miss), "stars"), signed, docs, size, per_cent)
     links = cut(links.union(member.where("doc_id > rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
                             .join(nodes.select(F.col("doc_id").alias("a")), "a", "left_semi")), "links")
     first = cut(components(links, "a", "b"), "components")
-    # buckets that aren't within one component
-    named = inside.where("n > 2").select("key", "doc_id").join(first.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn(
-        "component", F.coalesce("component", "doc_id"))
-    split = named.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
-    rest = named.join(split, "key", "left_semi").join(signed.select("doc_id", "signature"), "doc_id")
-    more = _confirm(_prune_pairs(_rest(rest, threshold, miss), signed, threshold, miss), docs, size, per_cent)
-    more = cut(more, "more")
-    final = first if more.isEmpty() else components(links.union(more), "a", "b")
+    # buckets that aren't within one component: first the likeliest pairs, then all that may still join two components
+    final, tested = first, None
+    for best in (BEST, None):
+        named = inside.where("n > 2").select("key", "doc_id").join(final.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn(
+            "component", F.coalesce("component", "doc_id"))
+        split = named.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
+        rest = named.join(split, "key", "left_semi").join(signed.select("doc_id", "signature"), "doc_id")
+        pairs = _rest(rest, threshold, miss, best)
+        pairs = cut(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+        if pairs.isEmpty():
+            break
+        tested = pairs
+        more = cut(_confirm(pairs, signed, docs, size, per_cent), "more")
+        if not more.isEmpty():
+            links = links.union(more)
+            final = cut(components(links, "a", "b"), "components")
     found = member.join(final.withColumnRenamed("id", "rep"), "rep", "left").select(
         "doc_id", F.coalesce("component", "rep").alias("component_id")).groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
     return prints.select("doc_id", "n_shingles").join(found, "doc_id", "left").select(

@@ -74,9 +74,9 @@ def test_posterior_bounds():
     bounds = near_dup.least_matches(0.8, 1e-6)
     assert bounds[0][0] == near_dup.BATCH and all(0 < m < 0.8 * n for n, m in bounds)
     rng = np.random.default_rng(0)
-    a = rng.integers(0, 256, (4000, 160), np.uint8)
-    same = rng.random((4000, 160)) < np.repeat([0.8, 0.3], 2000)[:, None]
-    b = np.where(same, a, rng.integers(0, 256, (4000, 160), np.uint8))
+    a = rng.integers(0, 256, (4000, 320), np.uint8)
+    same = rng.random((4000, 320)) < np.repeat([0.8, 0.3], 2000)[:, None]
+    b = np.where(same, a, rng.integers(0, 256, (4000, 320), np.uint8))
     left = near_dup.plausible(a, b, 0.8, 1e-6)
     assert (left < 2000).sum() >= 1998 and (left >= 2000).sum() == 0
 
