@@ -39,6 +39,13 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
 
 
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import url_filter
+
+    out = url_filter.url_filter(table(spark, sf_dir, "pages").select("page_id", "url"), table(spark, sf_dir, "labels"))
+    return out.select("page_id", "host", "path", "rule", "verdict", "mined")
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import packing
 
