@@ -62,7 +62,7 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import line_dedup
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return line_dedup.dedup_lines(docs).select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), "n_links", "removed", "text")
+    return line_dedup.dedup_lines(docs).select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), "removed", "sources", "text")
 
 
 def op9_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
