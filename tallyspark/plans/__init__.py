@@ -1,11 +1,14 @@
 """Registered queries over the fixture tables and their SQL."""
 
-FLAGSHIP = "features_rolling"
+from . import domain, incremental, relational, windowed  # noqa: F401
+from .registry import QUERIES, SQL
+
+FLAGSHIP = "feature_pipeline"
 
 
 def queries():
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql():
-    return {}
+    return dict(SQL)
