@@ -36,7 +36,7 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = 60, depth: int = 4, rate: flo
     for f in range(width):
         values = np.unique(x[:, f])
         if len(values) > bins:
-            values = np.unique(np.quantile(x[:, f], np.linspace(0, 1, bins + 1), method="nearest"))
+            values = np.unique(np.quantile(x[:, f], np.linspace(0, 1, bins), method="nearest"))
         cuts.append((values[1:] + values[:-1]) / 2)
     binned = np.stack([np.searchsorted(c, x[:, f], "left") for f, c in enumerate(cuts)], axis=1)
     p = np.clip(y.mean(), 1e-3, 1 - 1e-3)

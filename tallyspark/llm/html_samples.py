@@ -118,10 +118,10 @@ def sample(rng) -> tuple[str, set[str]]:
 
     blocks = _main(rng) if rng.random() < 0.96 else []
     main = {t for t in parse("".join(blocks)).text if t}
-    inside = []
+    inside, often = [], float(rng.choice([0.0, 0.05, 0.3]))
     for b in blocks:
         inside.append(b)
-        if rng.random() < 0.04:
+        if rng.random() < often:
             inside.append(_other(rng, str(rng.choice(["ad", "share", "aside", "form", "notice"]))))
     if rng.random() < 0.15:
         inside.append(_other(rng, str(rng.choice(["share", "comments", "aside"]))))
