@@ -1 +1,228 @@
-"""Plans."""
+"""Probability, projections, ratings, simulation, features and questions."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from ..functions import columns as c
+from ..functions import querylang
+from ..functions.columns import fixed, fixed_sql, norm_cdf_sql, normal_sql, uniform_sql
+from ..operators import features, probability as p, simulation as sim
+from ..operators import windows as w
+from .registry import query, table
+from .relational import guesses
+from .windowed import _ORDERS_CTE, order_log, roll_sql
+
+_USER = "WITH u AS (SELECT user_id, avg(value) AS m, stddev_samp(value) AS s, count(*) AS n FROM events GROUP BY 1)"
+
+
+def users(spark, sf):
+    return table(spark, sf, "events").groupBy("user_id").agg(F.avg("value").alias("m"), F.stddev_samp("value").alias("s"), F.count("*").alias("n"))
+
+
+_S = "(CASE WHEN s > 0 THEN s ELSE greatest(m*0.3, 1.0) END)"
+_OVER = f"(1.0 - {norm_cdf_sql(f'(60.5 - m)/{_S}')})"
+_AV = "(CASE WHEN user_id % 4 = 0 THEN 0.5::DOUBLE ELSE 1.0 END)"
+
+
+@query("over_under_probability", f"""{_USER}, o AS (SELECT user_id, {_OVER}*{_AV} AS o, (1.0-{_OVER})*{_AV} + (1.0-{_AV}) AS u FROM u) SELECT user_id, {fixed_sql('o')} AS p_over, {fixed_sql('u')} AS p_under, {fixed_sql('abs(o-0.5)')} AS edge,
+  CASE WHEN abs(o-0.5) > 0.15 THEN CASE WHEN o > 0.5 THEN 'STRONG OVER' ELSE 'STRONG UNDER' END WHEN abs(o-0.5) > 0.05 THEN CASE WHEN o > 0.5 THEN 'OVER' ELSE 'UNDER' END ELSE 'PASS' END AS say FROM o""")
+def over_under_probability(spark, sf):
+    available = F.when(F.col("user_id") % 4 == 0, 0.5).otherwise(1.0)
+    over, under = p.over_probability(F.col("m"), F.col("s"), F.lit(60.5), available)
+    df = users(spark, sf).withColumns({"o": over, "un": under})
+    return df.select("user_id", fixed(F.col("o")).alias("p_over"), fixed(F.col("un")).alias("p_under"), fixed(F.abs(F.col("o") - 0.5)).alias("edge"), c.recommendation(F.col("o")).alias("say"))
+
+
+@query("compare_lines", f"{_USER}, l AS (SELECT *, unnest([40.5::DOUBLE, 60.5, 80.5]) AS line FROM u) SELECT user_id, line, {fixed_sql('1.0 - ' + norm_cdf_sql(f'(line - m)/{_S}'))} AS p_over FROM l")
+def compare_lines(spark, sf):
+    df = users(spark, sf).withColumn("line", F.explode(F.array(F.lit(40.5), F.lit(60.5), F.lit(80.5))))
+    return df.select("user_id", "line", fixed(p.over_probability(F.col("m"), F.col("s"), F.col("line"))[0]).alias("p_over"))
+
+
+@query("monte_carlo_seeded", f"""{_USER}, d AS (SELECT user_id, m + s*{normal_sql('7', 'user_id', 'sim')} AS x FROM u, range(200) t(sim) WHERE n > 1) SELECT user_id, {fixed_sql('avg(CASE WHEN x > 60.5 THEN 1.0::DOUBLE ELSE 0 END)')} AS p_over,
+  {fixed_sql('avg(x)')} AS mean, {fixed_sql('stddev_pop(x)')} AS std, {fixed_sql('quantile_cont(x, 0.025)')} AS low, {fixed_sql('quantile_cont(x, 0.975)')} AS high FROM d GROUP BY 1""")
+def monte_carlo_seeded(spark, sf):
+    draws = sim.draw_around(users(spark, sf).where("n > 1"), "m", "s", 200, 7, "user_id")
+    out = sim.line_summary(draws, ["user_id"], F.lit(60.5))
+    return out.select("user_id", fixed(F.col("p_over")).alias("p_over"), fixed(F.col("mean")).alias("mean"), fixed(F.col("std")).alias("std"), fixed(F.col("interval")[0]).alias("low"), fixed(F.col("interval")[1]).alias("high"))
+
+
+@query("activity_draws", f"""WITH d AS (SELECT c_nationkey, c_custkey, sim, {uniform_sql('3', 'c_custkey', 'sim')} < 0.4 AS a FROM customer, range(5) t(sim)) SELECT c_nationkey, CAST(sim AS INT) AS sim, CAST(sum(CASE WHEN a THEN 1 ELSE 0 END) AS BIGINT) AS active FROM d GROUP BY ALL""")
+def activity_draws(spark, sf):
+    df = sim.with_simulations(table(spark, sf, "customer").select("c_nationkey", "c_custkey"), 5)
+    return df.groupBy("c_nationkey", "sim").agg(F.sum((c.uniform(3, F.col("c_custkey"), F.col("sim")) < 0.4).cast("int")).alias("active"))
+
+
+@query("market_blend", f"""WITH a AS (SELECT o_custkey, avg(o_totalprice)/1000 AS total, (max(o_totalprice) - min(o_totalprice))/10000 AS spread, stddev_pop(o_totalprice)/1000 AS model FROM orders GROUP BY 1)
+  SELECT o_custkey, {fixed_sql('(total - spread)/2')} AS home, {fixed_sql('(total + spread)/2')} AS away, {fixed_sql('model*0.7::DOUBLE + (total - spread)/2*0.3::DOUBLE')} AS blended,
+  {fixed_sql('least(greatest(' + norm_cdf_sql('(model - total)/11.0::DOUBLE') + ',0.05),0.95)')} AS p_total, {fixed_sql('least(greatest(' + norm_cdf_sql('(model/20 - spread)/10.5::DOUBLE') + ',0.05),0.95)')} AS p_cover FROM a""")
+def market_blend(spark, sf):
+    x = F.col("o_totalprice")
+    a = table(spark, sf, "orders").groupBy("o_custkey").agg((F.avg(x) / 1000).alias("total"), ((F.max(x) - F.min(x)) / 10000).alias("spread"), (F.stddev_pop(x) / 1000).alias("model"))
+    home, away = p.implied_totals(F.col("total"), F.col("spread"))
+    return a.select("o_custkey", fixed(home).alias("home"), fixed(away).alias("away"), fixed(p.blended(F.col("model"), home)).alias("blended"), fixed(p.total_over(F.col("model"), F.col("total"))).alias("p_total"), fixed(p.cover(F.col("model") / 20, F.col("spread"))).alias("p_cover"))
+
+
+def _rating_sql(efg, tov, orb, ft):
+    return f"(114.0 + ({efg} - 0.54)*200*0.40 + (0.135 - {tov})*200*0.25 + ({orb} - 0.25)*80*0.20 + ({ft} - 0.23)*100*0.15)"
+
+
+@query("four_factors", f"""WITH f AS (SELECT c_nationkey AS k, 0.45::DOUBLE + 0.2*avg(CASE WHEN o_orderstatus = 'F' THEN 1.0::DOUBLE ELSE 0 END) AS efg, 0.1::DOUBLE + avg(o_totalprice)/1e7 AS tov, 0.2::DOUBLE + count(*)/1e5 AS orb, 0.2::DOUBLE + avg(c_acctbal)/1e6 AS ft FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY 1)
+  SELECT a.k AS home, b.k AS away, {fixed_sql(_rating_sql('a.efg', 'a.tov', 'a.orb', 'a.ft'))} AS rating, {fixed_sql('least(greatest(' + _rating_sql('((a.efg + (1 - b.efg) + 0.54)/2.5)', '((a.tov + b.tov)/2)', '((a.orb + (1 - b.orb))/2)', 'a.ft') + ', 95), 135)')} AS matchup
+  FROM f a JOIN f b ON b.k = a.k + 1""")
+def four_factors(spark, sf):
+    j = table(spark, sf, "orders").join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    f = j.groupBy(F.col("c_nationkey").alias("k")).agg((0.45 + 0.2 * F.avg((F.col("o_orderstatus") == "F").cast("double"))).alias("efg"), (0.1 + F.avg("o_totalprice") / 1e7).alias("tov"), (0.2 + F.count("*") / 1e5).alias("orb"), (0.2 + F.avg("c_acctbal") / 1e6).alias("ft"))
+    g = f.select((F.col("k") - 1).alias("k"), F.col("k").alias("away"), F.col("efg").alias("de"), F.col("tov").alias("dt"), F.col("orb").alias("do"))
+    x = f.join(g, "k")
+    four = [F.col(n) for n in ("efg", "tov", "orb", "ft")]
+    return x.select(F.col("k").alias("home"), "away", fixed(p.rating(*four)).alias("rating"), fixed(p.matchup_rating(*four, F.col("de"), F.col("dt"), F.col("do"))).alias("matchup"))
+
+
+@query("minutes_constraint", f"""WITH t AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, sum(l_quantity) OVER (PARTITION BY l_orderkey) AS total, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem)
+  SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, {fixed_sql('CASE WHEN total < 240 THEN least(l_quantity + (240 - total)/n, 42) WHEN total > 240 THEN l_quantity*240/total ELSE l_quantity END')} AS minutes FROM t""")
+def minutes_constraint(spark, sf):
+    out = p.to_budget(table(spark, sf, "lineitem"), "l_orderkey", "l_quantity")
+    return out.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", fixed(F.col("l_quantity_fit")).alias("minutes"))
+
+
+@query("usage_allocation", f"SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, {fixed_sql('110.0::DOUBLE*(l_quantity*(0.8+l_discount))/sum(l_quantity*(0.8+l_discount)) OVER (PARTITION BY l_orderkey)')} AS points FROM lineitem")
+def usage_allocation(spark, sf):
+    out = p.share_of_total(table(spark, sf, "lineitem"), "l_orderkey", F.col("l_quantity") * (0.8 + F.col("l_discount")), F.lit(110.0), "points")
+    return out.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", fixed(F.col("points")).alias("points"))
+
+
+_ADJ = f"""WITH e AS (SELECT event_id, user_id, ts, value, {roll_sql('avg', 'value', 3)} AS r3, {roll_sql('avg', 'value', 10, 3)} AS m, {roll_sql('avg', 'value', 5, 1, 'PARTITION BY user_id, event_type ORDER BY ts, event_id')} AS v FROM events), x AS (SELECT *, (r3 - m)/m*100 AS ch, (v - m)/m AS d FROM e)"""
+
+
+def _bands(kind: str) -> str:
+    if kind == "trend":
+        up = " ".join(f"WHEN ch > {t} THEN least(r3 - m, m*{k}::DOUBLE)*{f}::DOUBLE" for t, k, f in ((40, 0.15, 1.0), (25, 0.12, 0.8), (15, 0.10, 0.6), (5, 0.08, 0.4)))
+        down = " ".join(f"WHEN ch < -{t} THEN greatest(r3 - m, -m*{k}::DOUBLE)*{f}::DOUBLE" for t, k, f in ((40, 0.15, 1.0), (25, 0.12, 0.8), (15, 0.10, 0.6), (5, 0.08, 0.4)))
+        return f"CASE {up} {down} ELSE 0 END"
+    up = " ".join(f"WHEN d > {t} THEN least(v - m, m*{k}::DOUBLE)*{f}::DOUBLE" for t, k, f in ((0.30, 0.15, 1.0), (0.20, 0.12, 0.85), (0.10, 0.08, 0.7)))
+    down = " ".join(f"WHEN d < -{t} THEN greatest(v - m, -m*{k}::DOUBLE)*{f}::DOUBLE" for t, k, f in ((0.30, 0.15, 1.0), (0.20, 0.12, 0.85), (0.10, 0.08, 0.7)))
+    return f"(CASE {up} WHEN d > 0.05 THEN (v - m)*0.5::DOUBLE {down} WHEN d < -0.05 THEN (v - m)*0.5::DOUBLE ELSE 0 END)*0.35::DOUBLE"
+
+
+@query("projection_adjustments", f"""{_ADJ} SELECT event_id, {fixed_sql(_bands('trend'))} AS trend, {fixed_sql(_bands('matchup'))} AS matchup,
+  {fixed_sql("CASE WHEN event_id % 30 + 1 >= 26 THEN 1.108::DOUBLE WHEN event_id % 30 + 1 >= 21 THEN 1.072 WHEN event_id % 30 + 1 >= 16 THEN 1.03 WHEN event_id % 30 + 1 <= 3 THEN 0.91 WHEN event_id % 30 + 1 <= 5 THEN 0.94 WHEN event_id % 30 + 1 <= 10 THEN 0.97 ELSE 1.0 END")} AS defense FROM x WHERE m IS NOT NULL AND v IS NOT NULL""")
+def projection_adjustments(spark, sf):
+    spec, by_type = w.ordered(["user_id"], ["ts", "event_id"]), w.ordered(["user_id", "event_type"], ["ts", "event_id"])
+    v = F.col("value")
+    e = table(spark, sf, "events").select("event_id", w.rolling(F.avg, v, spec, 3).alias("r3"), w.rolling(F.avg, v, spec, 10, 3).alias("m"), w.rolling(F.avg, v, by_type, 5).alias("v")).where("m is not null and v is not null")
+    r3, m, vs = F.col("r3"), F.col("m"), F.col("v")
+    return e.select("event_id", fixed(p.trend_adjustment((r3 - m) / m * 100, r3, m)).alias("trend"), fixed(p.matchup_adjustment(vs, m, m)).alias("matchup"), fixed(p.defense_factor(F.col("event_id") % 30 + 1)).alias("defense"))
+
+
+@query("context_multipliers", f"""WITH {_ORDERS_CTE}, d AS (SELECT o_orderkey, o_custkey, coalesce(date_diff('day', CAST(lag(o_orderdate) OVER w AS DATE), CAST(o_orderdate AS DATE)), 4) AS gap, o_orderkey % 6 AS week, coalesce(qty, 0) AS mins, o_orderkey % 2 = 0 AS home FROM g WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey))
+  SELECT o_orderkey, {fixed_sql('''least(greatest((CASE WHEN gap = 1 THEN 0.92::DOUBLE WHEN gap >= 3 THEN 1.03 ELSE 1.0 END)*(CASE WHEN week >= 4 THEN 0.88::DOUBLE WHEN week >= 3 THEN 0.95 ELSE 1.0 END)*(CASE WHEN mins > 108 THEN greatest(0.9::DOUBLE, 1-(mins-108)/120) ELSE 1.0 END)
+  *(CASE WHEN home THEN 1.0::DOUBLE ELSE 1/1.015::DOUBLE END)*0.95::DOUBLE*(0.6::DOUBLE+0.4::DOUBLE*1.1::DOUBLE), 0.5), 1.5)''')} AS multiplier FROM d""")
+def context_multipliers(spark, sf):
+    df, spec = order_log(spark, sf)
+    gap = w.gaps(F.col("o_orderdate"), spec)
+    df = df.withColumns({"gap": gap, "week": F.col("o_orderkey") % 6, "mins": F.coalesce("qty", F.lit(0.0))})
+    m = p.performance("pts", F.col("gap") == 1, F.col("gap"), F.col("week"), F.col("mins"), F.col("o_orderkey") % 2 == 0, F.lit(0.95), F.lit(1.1))
+    return df.select("o_orderkey", fixed(m).alias("multiplier"))
+
+
+@query("game_states", """WITH s AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity - 25 AS margin, l_linenumber % 4 + 1 AS q, (l_partkey % 720) AS secs FROM lineitem)
+  SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, abs(margin) <= 8 AS close, abs(margin) >= CASE WHEN q <= 2 THEN 25 WHEN q = 3 THEN 20 ELSE 15 END AS blowout, q = 4 AND secs <= 300 AND abs(margin) <= 5 AS clutch, q = 4 AND abs(margin) >= 20 AND secs <= 360 AS garbage FROM s""")
+def game_states(spark, sf):
+    df = table(spark, sf, "lineitem")
+    state = p.game_state(F.col("l_quantity") - 25, F.col("l_linenumber") % 4 + 1, F.col("l_partkey") % 720)
+    return df.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", *[x.alias(n) for n, x in state.items()])
+
+
+@query("archetypes", """WITH a AS (SELECT p_partkey, p_size*0.6::DOUBLE AS pts, p_partkey % 11 AS reb, p_partkey % 8 AS ast, (p_partkey % 20)/10.0::DOUBLE AS stl, (p_partkey % 15)/10.0::DOUBLE AS blk FROM part)
+  SELECT p_partkey, CASE WHEN pts >= 25 THEN CASE WHEN ast >= 6 THEN 'elite_playmaker' WHEN reb >= 8 THEN 'dominant_big' ELSE 'primary_scorer' END
+  WHEN pts >= 20 THEN CASE WHEN ast >= 5 THEN 'floor_general' WHEN reb >= 7 THEN 'interior_scorer' WHEN stl >= 1.2 THEN 'two_way_wing' ELSE 'secondary_scorer' END
+  WHEN pts >= 15 THEN CASE WHEN ast >= 4 THEN 'playmaker' WHEN reb >= 6 THEN 'stretch_big' WHEN blk >= 1 OR stl >= 1 THEN 'defensive_anchor' ELSE 'three_level_scorer' END
+  WHEN pts >= 10 THEN CASE WHEN reb >= 6 THEN 'rim_protector' WHEN ast >= 3 THEN 'connector' WHEN stl >= 0.8 THEN 'three_and_d' ELSE 'role_player' END
+  ELSE CASE WHEN reb >= 5 THEN 'rim_protector' WHEN ast >= 2 THEN 'facilitator' ELSE 'role_player' END END AS archetype FROM a""")
+def archetypes(spark, sf):
+    k = F.col("p_partkey")
+    return table(spark, sf, "part").select("p_partkey", p.archetype(F.col("p_size") * 0.6, k % 11, k % 8, (k % 20) / 10.0, (k % 15) / 10.0).alias("archetype"))
+
+
+_GUESS = f"WITH e AS (SELECT user_id, value, {roll_sql('avg', 'value', 10, 3)} AS guess FROM events)"
+
+
+@query("calibration_bias", f"""{_GUESS}, b AS (SELECT user_id, count(*) AS n, avg(value - guess) AS bias, avg(abs(value - guess)) AS mae FROM e WHERE guess IS NOT NULL GROUP BY 1), g AS (SELECT avg(value - guess) AS gb FROM e WHERE guess IS NOT NULL)
+  SELECT user_id, CAST(n AS BIGINT) AS n, {fixed_sql('mae')} AS mae, {fixed_sql('least(greatest(50.0::DOUBLE + CASE WHEN n >= 3 AND bias*0.4::DOUBLE <> 0 THEN bias*0.4::DOUBLE ELSE gb*0.5::DOUBLE END, 0), 100)')} AS calibrated,
+  {fixed_sql('CASE WHEN n >= 20 THEN 1.0::DOUBLE WHEN n >= 10 THEN 0.95 WHEN n >= 5 THEN 0.85 WHEN n >= 1 THEN 0.7 ELSE 0.5 END')} AS confidence FROM b, g""")
+def calibration_bias(spark, sf):
+    e = guesses(spark, sf).where("guess is not null").withColumn("e", F.col("value") - F.col("guess"))
+    b = e.groupBy("user_id").agg(F.count("*").alias("n"), F.avg("e").alias("bias"), F.avg(F.abs("e")).alias("mae")).crossJoin(F.broadcast(e.agg(F.avg("e").alias("gb"))))
+    own = F.when(F.col("n") >= 3, F.col("bias") * 0.4)
+    return b.select("user_id", "n", fixed(F.col("mae")).alias("mae"), fixed(p.calibrated(F.lit(50.0), own, F.col("gb"))).alias("calibrated"), fixed(c.confidence(F.col("n"))).alias("confidence"))
+
+
+@query("matchup_pace", f"""WITH a AS (SELECT c_nationkey AS k, 90 + avg(c_acctbal)/400 AS p FROM customer GROUP BY 1) SELECT a.k AS home, {fixed_sql('CASE WHEN (a.p+b.p)/2 > 103 THEN 103 + ((a.p+b.p)/2-103)*0.5::DOUBLE WHEN (a.p+b.p)/2 < 97 THEN 97 - (97-(a.p+b.p)/2)*0.5::DOUBLE ELSE (a.p+b.p)/2 END')} AS pace FROM a JOIN a b ON b.k = a.k + 1""")
+def matchup_pace(spark, sf):
+    a = table(spark, sf, "customer").groupBy(F.col("c_nationkey").alias("home")).agg((90 + F.avg("c_acctbal") / 400).alias("pa"))
+    b = a.select((F.col("home") - 1).alias("home"), F.col("pa").alias("pb"))
+    return a.join(b, "home").select("home", fixed(p.damped_pace(F.col("pa"), F.col("pb"))).alias("pace"))
+
+
+_QUESTIONS = ["Stephen Curry over 25.5 points", "LeBron James u 7.5 rebounds vs BOS", "exit", "help", "list players", "compare Luka Doncic and Jayson Tatum assists", "Nikola Jokic projection", "what is this", "Trae Young above 99 points", "o 12.5 ast"]
+_EXPECT = [("over_under", "pts", "over", 25.5), ("over_under", "reb", "under", 7.5), ("exit", None, None, None), ("help", None, None, None), ("list", None, None, None), ("compare", "ast", None, None), ("projection", None, None, None), ("unknown", None, None, None), ("unknown", "pts", None, None), ("over_under", "ast", "over", 12.5)]
+_lit = lambda x: "NULL" if x is None else f"'{x}'"
+
+
+@query("query_parse_batch", "SELECT * FROM (VALUES " + ", ".join(f"({k}, {_lit(a)}, {_lit(b)}, {_lit(s)}, CAST({'NULL' if x is None else x} AS DOUBLE))" for k, (a, b, s, x) in enumerate(_EXPECT)) + ") t(id, kind, stat, side, line)")
+def query_parse_batch(spark, sf):
+    df = spark.createDataFrame(list(enumerate(_QUESTIONS)), "id int, text string")
+    return df.select("id", *[x.alias(n) for n, x in querylang.parsed(F.col("text")).items()])
+
+
+def log_of(spark, sf):
+    """The game log stand-in: one row per order, its sums as stats, the customer as player, its nation as team."""
+    df, _ = order_log(spark, sf)
+    df = df.join(table(spark, sf, "customer").select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
+    df = df.select("o_orderkey", "o_custkey", F.to_date("o_orderdate").alias("day"), "c_nationkey", F.col("o_orderpriority").alias("opponent"), *[F.coalesce(F.col(a), F.lit(0.0)).alias(b) for a, b in (("price", "pts"), ("qty", "reb"), ("disc", "ast"))], F.coalesce(F.col("n_lines") * 5.0, F.lit(0.0)).alias("min"))
+    return df, features.Log("o_custkey", ("day", "o_orderkey"), "day", "opponent", "c_nationkey", ("pts", "reb", "ast"), "min")
+
+
+@query("feature_pipeline")
+def feature_pipeline(spark, sf):
+    return features.build(*log_of(spark, sf))
+
+
+@query("feature_pipeline_checked", f"""WITH {_ORDERS_CTE}, l AS (SELECT o_orderkey, o_custkey, CAST(o_orderdate AS DATE) AS day, o_orderpriority AS opp, coalesce(price, 0) AS pts FROM g), a AS (SELECT *, avg(pts) OVER () AS gm,
+  row_number() OVER (PARTITION BY o_custkey ORDER BY day, o_orderkey) AS n, {roll_sql('avg', 'pts', 10, 3, 'PARTITION BY o_custkey ORDER BY day, o_orderkey')} AS r10, {roll_sql('avg', 'pts', None, 1, 'PARTITION BY o_custkey ORDER BY day, o_orderkey')} AS e, {roll_sql('avg', 'pts', 5, 1, 'PARTITION BY o_custkey, opp ORDER BY day, o_orderkey')} AS v FROM l)
+  SELECT o_orderkey, {fixed_sql('coalesce(r10, 0)')} AS roll_pts_avg_10, {fixed_sql('coalesce(v, 0)')} AS vs_opp_pts_recent, {fixed_sql('coalesce(n/(n+10.0::DOUBLE)*e + 10.0::DOUBLE/(n+10.0::DOUBLE)*gm, 0)')} AS pts_bayesian FROM a""")
+def feature_pipeline_checked(spark, sf):
+    names = ("roll_pts_avg_10", "vs_opp_pts_recent", "pts_bayesian")
+    return feature_pipeline(spark, sf).select("o_orderkey", *[fixed(F.col(n)).alias(n) for n in names])
+
+
+def rosters(spark, sf):
+    """Games of neighbouring nations, their customers as players."""
+    cust = table(spark, sf, "customer").where("c_nationkey < 8")
+    top = cust.withColumn("r", F.row_number().over(Window.partitionBy("c_nationkey").orderBy(F.desc("c_acctbal"), "c_custkey"))).where("r <= 9")
+    base = F.greatest(F.lit(6.0), 26 - 2.0 * F.col("r"))
+    cols = {"mean_pts": base, "mean_reb": base / 3, "mean_ast": base / 4, "mean_stl": base / 18, "mean_blk": base / 25, "mean_tov": base / 9}
+    return top.select(F.floor(F.col("c_nationkey") / 2).alias("game"), F.col("c_nationkey").alias("team"), F.col("c_custkey").alias("player"), (F.col("c_nationkey") % 2 == 0).alias("home"),
+                      F.when(F.col("r") == 2, 0.5).otherwise(0.97).alias("play_probability"), (40 - 2.5 * F.col("r")).alias("minutes"), F.lit(3.0).alias("std_minutes"),
+                      *[x.alias(n) for n, x in cols.items()], *[(x * 0.4).alias(n.replace("mean", "std")) for n, x in cols.items()])
+
+
+@query("game_simulation")
+def game_simulation(spark, sf):
+    return sim.summarize_games(sim.game_results(sim.simulate_games(rosters(spark, sf), 100)))
+
+
+@query("correlated_players")
+def correlated_players(spark, sf):
+    return sim.summarize_players(sim.simulate_games(rosters(spark, sf), 60))
+
+
+@query("possession_sim")
+def possession_sim(spark, sf):
+    r = rosters(spark, sf)
+    player = F.struct(F.col("player"), (F.col("mean_pts") / 130).alias("usage"), F.lit(0.5).alias("fg2"), F.lit(0.36).alias("fg3"), F.lit(0.78).alias("ft"), F.lit(0.13).alias("tov"), F.lit(0.25).alias("orb"))
+    teams = r.groupBy("game", "home").agg(F.slice(F.array_sort(F.collect_list(player)), 1, 9).alias("players"))
+    return sim.simulate_possessions(teams, 20)
