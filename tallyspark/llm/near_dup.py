@@ -37,7 +37,7 @@ HASHES = 320
 #: Hashes that are compared before the next look at the posterior.
 BATCH = 32
 #: Pairs that a text proposes in a block of a bucket, the likeliest ones, before all the others are tried.
-BEST = 4
+BEST = 2
 #: Members of a bucket that are compared with each other at once.
 BLOCK = 256
 _draw = np.random.Generator(np.random.PCG64(77))
@@ -183,10 +183,8 @@ def _prune_pairs(pairs: DataFrame, nodes: DataFrame, threshold: float, miss: flo
     return both.mapInArrow(run, "a long, b long")
 
 
-def _confirm(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, per_cent: int) -> DataFrame:
-    """The pairs that are linked by their full sets; pairs is cut. The smaller set must be able to hold enough of the larger."""
-    counts = lambda x: nodes.select(F.col("doc_id").alias(x), F.col("n_shingles").alias(f"n{x}"))
-    pairs = cut(pairs.join(counts("a"), "a").join(counts("b"), "b").where(100 * F.least("na", "nb") >= per_cent * F.greatest("na", "nb")).select("a", "b"), "sized")
+def _confirm(pairs: DataFrame, docs: DataFrame, size: int, per_cent: int) -> DataFrame:
+    """The pairs that are linked by their full sets; pairs is cut."""
     wanted = cut(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "wanted")
     sets = cut(full_sets(docs.select("doc_id", "text").join(light(wanted), "doc_id", "left_semi"), size), "sets")
     both = (
@@ -197,10 +195,10 @@ def _confirm(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, per
     return both.where(100 * F.col("shared") >= per_cent * (F.size("sa") + F.size("sb") - F.col("shared"))).select("a", "b")
 
 
-def _rest(members: DataFrame, threshold: float, miss: float, best: int | None) -> DataFrame:
+def _rest(members: DataFrame, per_cent: int, miss: float, best: int | None) -> DataFrame:
     """Plausible pairs between different components of a bucket, its smallest member left out.
 
-    members: key, doc_id, component, signature. Members of other components than the bucket's largest
+    members: key, band, doc_id, component, n_shingles, signature. A pair that shares several bands counts in the first of them. Members of other components than the bucket's largest
     (the queries) meet all members, block by block. best: pairs of a query in a block, the likeliest; None: all.
     """
     size = members.groupBy("key", "component").agg(F.count("*").alias("n"))
@@ -217,22 +215,26 @@ def _rest(members: DataFrame, threshold: float, miss: float, best: int | None) -
         "cell", cell(F.col("q"), F.col("h") % F.col("mb")))
     asks = rows.where("query").select("*", F.explode(F.sequence(F.lit(0), F.col("mb") - 1)).alias("m"), F.lit(True).alias("asks")).withColumn(
         "cell", cell(F.col("h") % F.col("qb"), F.col("m")))
-    names = ["cell", "asks", "doc_id", "component", "signature"]
+    names = ["cell", "band", "asks", "doc_id", "component", "n_shingles", "signature"]
     dealt = other.select(*names).union(asks.select(*names)).repartition("cell").sortWithinPartitions("cell", "asks")
-    width = HASHES
+    width, threshold = HASHES, per_cent / 100
 
     def run(batches):
         held: list[pa.RecordBatch] = []
 
         def pairs(table: pa.Table):
             asks = table["asks"].to_numpy()
-            ids, comp = table["doc_id"].to_numpy(), table["component"].to_numpy()
+            ids, comp, n = (table[c].to_numpy() for c in ("doc_id", "component", "n_shingles"))
+            band = table["band"][0].as_py()
             x, y = np.flatnonzero(asks), np.flatnonzero(~asks)
             if not len(x) or not len(y):
                 return
             sig = _bytes(table["signature"].combine_chunks(), width)
             for k in x:
-                at = y[comp[y] != comp[k]]
+                at = y[(comp[y] != comp[k]) & (100 * np.minimum(n[y], n[k]) >= per_cent * np.maximum(n[y], n[k]))]
+                if len(at) and band:
+                    earlier = (sig[at, : band * DEPTH] == sig[k, : band * DEPTH]).reshape(len(at), band, DEPTH).all(axis=2).any(axis=1)
+                    at = at[~earlier]
                 if len(at):
                     keep = at[plausible(np.broadcast_to(sig[k], (len(at), width)), sig[at], threshold, miss)]
                     if best is not None and len(keep) > best:
@@ -267,7 +269,7 @@ def _rest(members: DataFrame, threshold: float, miss: float, best: int | None) -
             flush(pa.Table.from_batches(held), out)
             yield result(out)
 
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return dealt.mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, per_cent: int = 80, miss: float = 1e-5) -> DataFrame:
@@ -283,28 +285,28 @@ def near_duplicates(docs: DataFrame, size: int = 5, per_cent: int = 80, miss: fl
     nodes = cut(
         known.join(member.where("doc_id = rep").select("doc_id", "k1", "k2"), ["doc_id", "k1", "k2"], "left_semi")
         .dropDuplicates(["doc_id", "k1", "k2"]).select("doc_id", "n_shingles", "signature", "bands"), "nodes")
-    exploded = nodes.select("doc_id", F.explode("bands").alias("key"))
+    exploded = nodes.select("doc_id", F.posexplode("bands").alias("band", "key"))
     buckets = exploded.groupBy("key").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1")
     inside = cut(exploded.join(buckets, "key").where("doc_id > first"), "buckets")
     stars = inside.select(F.col("doc_id").alias("a"), F.col("first").alias("b")).distinct()
     signed = nodes.select("doc_id", "signature", "n_shingles")
-    links = _confirm(cut(_prune_pairs(stars, signed, threshold, miss), "stars"), signed, docs, size, per_cent)
+    links = _confirm(cut(_prune_pairs(stars, signed, threshold, miss), "stars"), docs, size, per_cent)
     links = cut(links.union(member.where("doc_id > rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
                             .join(nodes.select(F.col("doc_id").alias("a")), "a", "left_semi")), "links")
     first = cut(components(links, "a", "b"), "components")
     # buckets that aren't within one component: first the likeliest pairs, then all that may still join two components
     final, tested = first, None
     for best in (BEST, None):
-        named = inside.where("n > 2").select("key", "doc_id").join(final.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn(
+        named = inside.where("n > 2").select("key", "band", "doc_id").join(final.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn(
             "component", F.coalesce("component", "doc_id"))
         split = named.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
-        rest = named.join(split, "key", "left_semi").join(signed.select("doc_id", "signature"), "doc_id")
-        pairs = _rest(rest, threshold, miss, best)
+        rest = named.join(split, "key", "left_semi").join(signed, "doc_id")
+        pairs = _rest(rest, per_cent, miss, best)
         pairs = cut(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
         if pairs.isEmpty():
             break
         tested = pairs
-        more = cut(_confirm(pairs, signed, docs, size, per_cent), "more")
+        more = cut(_confirm(pairs, docs, size, per_cent), "more")
         if not more.isEmpty():
             links = links.union(more)
             final = cut(components(links, "a", "b"), "components")

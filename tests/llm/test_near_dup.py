@@ -83,4 +83,5 @@ def test_posterior_bounds():
 
 def test_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 100), (None, 3)], "a int, b int")
-    assert {(r.id, r.component) for r in components(edges, "a", "b").collect()} == {(i, 0) for i in range(41)}
+    for local in (200_000, 5):
+        assert {(r.id, r.component) for r in components(edges.repartition(6), "a", "b", local_edges=local).collect()} == {(i, 0) for i in range(41)}
