@@ -73,7 +73,7 @@ def _per_page(df: DataFrame, column: str, added: str, rows):
             found = [(k, *row) for k, page in enumerate(pdf[column]) for row in rows(page)]
             at = [f[0] for f in found]
             out = pdf.drop(columns=[column]).iloc[at].reset_index(drop=True)
-            yield pd.concat([out, pd.DataFrame({n: [f[i + 1] for f in found] for i, n in enumerate(names)})], axis=1)
+            yield pd.concat([out, pd.DataFrame({n: pd.Series([f[i + 1] for f in found], dtype=object) for i, n in enumerate(names)})], axis=1)
 
     return df.mapInPandas(run, schema)
 
