@@ -30,19 +30,27 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+_written: list[str] = []
+
+
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:
-    """Write df as Parquet into the shared folder and read it back, which ends its lineage."""
+    """Write df as Parquet into the shared folder and read it back, which ends its lineage.
+
+    The files stay until release(): a later stage that runs again reads them.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_path(spark: SparkSession, path: str) -> None:
-    """Delete a folder written by cut(), through Hadoop's file system."""
+def release(spark: SparkSession) -> None:
+    """Delete what cut() has written in this process; for after the results are stored."""
     jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    while _written:
+        p = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -28,49 +28,30 @@ from .common import prepare
 LIMITS = (1024, 64, 1023)
 #: Tails that wait for a place at once.
 WINDOW = 2048
-REMEMBERED = 250_000
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
 class ByteBPE:
-    """Ids as the tokenizer file gives them; blanks split the text into chunks that are remembered."""
+    """Ids as the tokenizer file gives them: its vocabulary as merge ranks."""
 
     def __init__(self, path: str) -> None:
         import json
-        import re
 
         import public_tokenizers
         import tiktoken
 
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
         from .bpe import byte_symbols
 
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
         code = {ord(c): b for b, c in enumerate(byte_symbols())}
         special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         ranks = {bytes(code[ord(c)] for c in text): i for text, i in spec["model"]["vocab"].items() if text not in special}
-        self.model = tiktoken.Encoding("chunks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
-        # where white space stands together, its runs must be seen whole
-        self.wide = re.compile(r"\s\s|^\s|\s$")
-        self.special = list(special)
-        self.cache: dict[str, bytes] = {}
-
-    def whole(self, text: str) -> bytes:
-        return np.array(self.model.encode(text, allowed_special="all"), "<u4").tobytes()
+        self.model = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
     def encode(self, text: str) -> bytes:
-        if self.wide.search(text) or any(x in text for x in self.special):
-            return self.whole(text)
-        cache, parts = self.cache, text.split(" ")
-        parts[1:] = [" " + x for x in parts[1:]]
-        out = [cache.get(x) for x in parts]
-        if None in out:
-            if len(cache) > REMEMBERED:
-                cache.clear()
-            for k, x in enumerate(parts):
-                if out[k] is None:
-                    out[k] = cache[x] = np.array(self.model.encode_ordinary(x), "<u4").tobytes()
-        return b"".join(out)
+        """Little-endian unsigned 32-bit ids; special tokens in the text are read as such, as the file says."""
+        return self.model.encode_to_numpy(text, allowed_special="all").astype("<u4", copy=False).tobytes()
 
 
 @functools.cache
