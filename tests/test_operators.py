@@ -166,3 +166,45 @@ def test_running_bias(spark, tmp_path):
         bias = 0.6 * bias + 0.4 * t
     got = {x.k: (x.bias, x.n) for x in spark.table("bias").collect()}
     assert got[1] == (pytest.approx(bias), 5) and got[2] == (pytest.approx(1.2), 1)
+
+
+def test_histories(spark):
+    from tallyspark.operators import history as h
+
+    rng = np.random.default_rng(4)
+    rows = [(k, float(x)) for k, m in ((1, 10.0), (2, 30.0)) for x in rng.normal(m, 2, 300)] + [(3, 1.0), (3, 2.0)]
+    mode = {x.k: x.mode for x in h.mode_of_density(spark.createDataFrame(rows, "k int, v double"), ["k"], "v").collect()}
+    assert abs(mode[1] - 10) < 1.5 and abs(mode[2] - 30) < 1.5 and mode[3] == 1.5
+    games = spark.createDataFrame([("a", "x", dt.date(2024, 1, d), d, 4, 8, "W", "A vs. B" if d % 2 else "A @ B", float(v)) for d, v in enumerate((10, 10, 10, 20, 20, 20), 1)], "p string, o string, day date, id int, fgm int, fga int, wl string, matchup string, pts double")
+    rec = h.game_records(games, ["p"], "day", [F.desc("id")]).orderBy(F.desc("day")).collect()
+    assert len(rec) == 5 and rec[0].fg_pct == 50.0 and rec[0].won and not rec[0].is_home
+    ctx = h.player_context(games, "p", "o", "day", [F.desc("id")], "pts").first()
+    assert ctx.recent_mean == 16.0 and ctx.versus_games == 5 and ctx.trend == "up"
+    lineups = spark.createDataFrame([("t", 1, [1, 2, 3, 4, 5]), ("t", 2, [1, 2, 3, 4, 6]), ("t", 3, [1, 2, 3, 4, 6]), ("u", 1, [1, 2, 3, 4, 5])], "team string, n int, five array<int>")
+    got = {x.team: x.stability for x in h.stability(lineups, "team", ["n"], "five").collect()}
+    assert got["u"] == 0.5 and got["t"] == pytest.approx(0.7 * (0.7 * 0.5 + 0.3 * 0.8) + 0.3)
+    preds = spark.createDataFrame([(1, n, 10.0, 10.0, 20.0) for n in range(4)], "k int, n int, y double, good double, bad double")
+    out = [x.blended for x in h.inverse_error_blend(preds, ["k"], ["n"], "y", ["good", "bad"]).orderBy("n").collect()]
+    assert out[0] == 15.0 and abs(out[3] - 10) < 0.01
+    scaled = h.team_constraint(spark.createDataFrame([(1, 10.0, 100.0), (1, 30.0, 100.0)], "g int, v double, t double"), ["g"], "v", "t").collect()
+    assert sorted(x.v_scaled for x in scaled) == [13.0, 39.0]
+
+
+def test_scraped(spark):
+    import json
+
+    from tallyspark.sources import scraped as s
+
+    doc = {"sports": [{"leagues": [{"teams": [{"displayName": "T", "injuries": [{"status": "Out", "date": "2024-01-02T00:00Z", "shortComment": "knee", "athlete": {"displayName": "P"}}]}]}]}]}
+    row = s.injuries(spark.createDataFrame([(json.dumps(doc),), (None,), ("bad",)], "j string"), "j").collect()
+    assert [(x.team, x.player, x.status, x.play_probability, x.day) for x in row] == [("T", "P", "OUT", 0.0, dt.date(2024, 1, 2))]
+    text = spark.createDataFrame([("PG Jon Doe (ankle) 31 min Questionable",)], "t string")
+    got = text.select(*[c.alias(n) for n, c in s.player_text(F.col("t")).items()]).first()
+    assert (got.name, got.status, got.position, got.projected_minutes) == ("Jon Doe", "QUESTIONABLE", "PG", 31.0)
+    days = [spark.createDataFrame(r, "game_id int, d int") for r in ([(1, 1), (2, 1)], [(2, 2), (3, 2)])]
+    assert sorted((x.game_id, x.d) for x in s.remaining_games(days).collect()) == [(1, 1), (2, 1), (3, 2)]
+    fixed = s.plausible(spark.createDataFrame([("99", "0.5"), ("x", "9")], "pace string, efg string"), {"pace": (85, 115), "efg": (0.4, 0.7)}, {"pace": 100, "efg": 0.54}).collect()
+    assert [(x.pace, x.efg) for x in fixed] == [(99.0, 0.5), (100.0, 0.54)]
+    static = spark.createDataFrame([("a", 110.0), ("b", 105.0)], "team string, r double")
+    few = s.ranked_ratings(static.limit(0), "team", "r", static, 2).collect()
+    assert {x.team: x.league_rank for x in few} == {"b": 1, "a": 2}
