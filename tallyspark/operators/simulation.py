@@ -76,6 +76,32 @@ def simulate_games(roster: DataFrame, n: int, seed: int = 7) -> DataFrame:
     return df.withColumns(stats).drop("__order", "__m", "__total", "__scale")
 
 
+def gamma(alpha: Column, seed: int, *key) -> Column:
+    """A gamma draw by the Wilson-Hilferty transform of a normal one: all on the JVM, and close for alpha of 1 and more."""
+    z = normal(seed, *key, "gamma")
+    return F.greatest(alpha * F.pow(1 - 1 / (9 * alpha) + z / (3 * F.sqrt(alpha)), F.lit(3.0)), F.lit(1e-9))
+
+
+def allocate_points(sims: DataFrame, usage: str = "mean_pts", concentration: float = 70.0, high: float = 118.0, seed: int = 7) -> DataFrame:
+    """A team's points of a simulation dealt out anew by Dirichlet shares around the players' own.
+
+    In a game over `high` points the two players of most usage gain 1.5 each and the two of least lose
+    1; the team's total stays.
+    """
+    team = Window.partitionBy("game", "sim", "team")
+    key = [F.col(c) for c in ("game", "team", "player", "sim")]
+    total = F.sum("sim_pts").over(team)
+    df = sims.withColumn("__total", total).withColumn("__a", F.when(F.col("__total") > 0, F.col("sim_pts") / F.col("__total") * concentration).otherwise(0.0))
+    df = df.withColumn("__g", F.when(F.col("__a") > 0, gamma(F.greatest("__a", F.lit(1e-3)), seed, *key)).otherwise(0.0))
+    whole = F.sum("__g").over(team)
+    df = df.withColumn("__p", F.when(whole > 0, F.col("__total") * F.col("__g") / whole).otherwise(0.0))
+    best, least = (F.row_number().over(team.orderBy(c, "player")) for c in (F.desc(usage), F.asc(usage)))
+    moved = F.when(best <= 2, F.col("__p") + 1.5).when(least <= 2, F.greatest(F.col("__p") - 1, F.lit(0.0))).otherwise(F.col("__p"))
+    df = df.withColumn("__p", F.when(F.col("__total") > high, moved).otherwise(F.col("__p")))
+    again = F.sum("__p").over(team)
+    return df.withColumn("sim_pts", F.when(again > 0, F.col("__p") * F.col("__total") / again).otherwise(F.col("__p"))).drop("__total", "__a", "__g", "__p")
+
+
 def game_results(sims: DataFrame, seed: int = 7) -> DataFrame:
     """home and away points of each simulation; a margin of at most 3 goes to overtime, of which home wins 52 %."""
     sides = sims.groupBy("game", "sim").agg(F.sum(F.when(F.col("home"), F.col("sim_pts"))).alias("home_pts"), F.sum(F.when(~F.col("home"), F.col("sim_pts"))).alias("away_pts"))

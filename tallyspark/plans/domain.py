@@ -220,6 +220,11 @@ def correlated_players(spark, sf):
     return sim.summarize_players(sim.simulate_games(rosters(spark, sf), 60))
 
 
+@query("points_allocation")
+def points_allocation(spark, sf):
+    return sim.allocate_points(sim.simulate_games(rosters(spark, sf), 30)).select("game", "team", "player", "sim", "sim_pts")
+
+
 @query("possession_sim")
 def possession_sim(spark, sf):
     r = rosters(spark, sf)

@@ -96,6 +96,11 @@ def test_game_simulation(spark):
     res = sim.summarize_games(sim.game_results(sims)).collect()[0]
     assert 0.4 < res.home_win < 0.95 and res.home_mean > res.away_mean
     assert sims.where("not active and sim_pts > 0").count() == 0
+    dealt = sim.allocate_points(sims)
+    both = [x.groupBy("game", "sim", "team").agg(F.sum("sim_pts").alias("t")).orderBy("sim", "team").toPandas()["t"] for x in (sims, dealt)]
+    assert np.allclose(*both) and dealt.where("not active and sim_pts > 1.6").count() == 0 and dealt.where("sim_pts < 0").count() == 0
+    draws = spark.range(20_000).select(sim.gamma(F.lit(4.0), 1, F.col("id")).alias("g")).toPandas()["g"]
+    assert abs(draws.mean() - 4) < 0.1 and abs(draws.var() - 4) < 0.3
 
 
 def test_over_probability_with_absence(spark):
