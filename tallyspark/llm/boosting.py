@@ -29,7 +29,7 @@ class Boosted:
         return out
 
 
-def fit(x: np.ndarray, y: np.ndarray, trees: int = 60, depth: int = 4, rate: float = 0.3, bins: int = 24, share: float = 0.5, seed: int = 1, smooth: float = 1.0) -> Boosted:
+def fit(x: np.ndarray, y: np.ndarray, trees: int = 60, depth: int = 4, rate: float = 0.3, bins: int = 24, share: float = 0.5, seed: int = 1, smooth: float = 1.0, rows: float = 1.0) -> Boosted:
     rng = np.random.default_rng(seed)
     n, width = x.shape
     cuts = []
@@ -46,16 +46,18 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = 60, depth: int = 4, rate: flo
     for _ in range(trees):
         p = 1 / (1 + np.exp(-score))
         g, h = y - p, np.maximum(p * (1 - p), 1e-6)
+        taken = np.flatnonzero(rng.random(n) < rows) if rows < 1 else np.arange(n)
+        gr, hr = np.repeat(g[taken], some), np.repeat(h[taken], some)
         chosen = np.sort(rng.choice(width, some, replace=False))
-        part = binned[:, chosen]
+        part = binned[taken][:, chosen]
         inner = 2**depth - 1
         feature, threshold, at = np.zeros(inner, np.int64), np.full(inner, np.inf), np.zeros(n, np.int64)
         for level in range(depth):
             first, nodes = 2**level - 1, 2**level
-            key = (((at - first)[:, None] * some + np.arange(some)) * bins + part).ravel()
+            key = (((at[taken] - first)[:, None] * some + np.arange(some)) * bins + part).ravel()
             size = nodes * some * bins
-            gs = np.bincount(key, np.repeat(g, some), size).reshape(nodes, some, bins).cumsum(axis=2)
-            hs = np.bincount(key, np.repeat(h, some), size).reshape(nodes, some, bins).cumsum(axis=2)
+            gs = np.bincount(key, gr, size).reshape(nodes, some, bins).cumsum(axis=2)
+            hs = np.bincount(key, hr, size).reshape(nodes, some, bins).cumsum(axis=2)
             gt, ht = gs[:, :, -1:], hs[:, :, -1:]
             gain = gs**2 / (hs + smooth) + (gt - gs) ** 2 / (ht - hs + smooth) - gt**2 / (ht + smooth)
             gain[:, :, -1] = 0

@@ -269,7 +269,7 @@ def trained(pages: int = 480, seed: int = 17) -> Model:
     seen = Counter(t for tree in trees for tokens in tree.tokens for t in set(tokens))
     vocabulary = {t: k for k, t in enumerate(sorted(t for t, c in seen.items() if c >= 6))}
     x, y = np.concatenate([features(t, vocabulary) for t in trees]), np.concatenate(labels).astype(float)
-    return Model(vocabulary, boosting.fit(x, y, trees=70, share=0.35))
+    return Model(vocabulary, boosting.fit(x, y, trees=80, share=0.35, rows=0.8))
 
 
 def main_texts(pages: DataFrame) -> DataFrame:

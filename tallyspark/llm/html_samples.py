@@ -20,12 +20,16 @@ OTHER = {
 _PHRASES = ["Home", "About us", "Contact", "Log in", "Privacy policy", "Read more", "Next", "Subscribe", "Share", "All rights reserved", "Reply", "Terms"]
 
 
+_maker = np.random.default_rng(3)
+_LEXICON = np.array(["".join(_maker.choice(_SYLLABLES, _maker.integers(1, 4))) for _ in range(3000)], dtype=object)
+
+
 def _word(rng) -> str:
-    return "".join(rng.choice(_SYLLABLES, rng.integers(1, 4)))
+    return _LEXICON[rng.integers(len(_LEXICON))]
 
 
 def _sentence(rng, least: int = 1, most: int = 22) -> str:
-    words = [_word(rng) for _ in range(rng.integers(least, most + 1))]
+    words = _LEXICON[rng.integers(0, len(_LEXICON), rng.integers(least, most + 1))].tolist()
     if rng.random() < 0.05:
         words = [w + str(rng.choice(["$$$", "###", " |", "!!", ",", " 12", "&amp;"])) for w in words]
     text = " ".join(words)
