@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -36,13 +37,17 @@ _written: list[str] = []
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     """Write df as Parquet into the shared folder and read it back, which ends its lineage.
 
-    The files stay until release(): a later stage that runs again reads them.
+    The files stay until release(): a later stage that runs again reads them. Shuffles that nothing
+    refers to any more are left to Spark's cleaner at once, not when the driver happens to need memory.
     """
-    spark = df.sparkSession
+    spark, schema = df.sparkSession, df.schema
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    del df
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return spark.read.schema(schema).parquet(path)
 
 
 def release(spark: SparkSession) -> None:
