@@ -200,12 +200,15 @@ def feature_pipeline_checked(spark, sf):
 
 
 def rosters(spark, sf):
-    """Games of neighbouring nations, their customers as players."""
-    cust = table(spark, sf, "customer").where("c_nationkey < 8")
+    """Games of neighbouring nations, their customers as players. If the last nation has no neighbour left, the one before it plays a second game, against it."""
+    cust = table(spark, sf, "customer")
+    last = cust.agg(F.max("c_nationkey").alias("last"))
     top = cust.withColumn("r", F.row_number().over(Window.partitionBy("c_nationkey").orderBy(F.desc("c_acctbal"), "c_custkey"))).where("r <= 9")
     base = F.greatest(F.lit(6.0), 26 - 2.0 * F.col("r"))
     cols = {"mean_pts": base, "mean_reb": base / 3, "mean_ast": base / 4, "mean_stl": base / 18, "mean_blk": base / 25, "mean_tov": base / 9}
-    return top.select(F.floor(F.col("c_nationkey") / 2).alias("game"), F.col("c_nationkey").alias("team"), F.col("c_custkey").alias("player"), (F.col("c_nationkey") % 2 == 0).alias("home"),
+    game, odd = F.floor(F.col("c_nationkey") / 2), (F.col("last") % 2 == 0) & (F.col("c_nationkey") == F.col("last") - 1)
+    top = top.crossJoin(F.broadcast(last)).withColumn("game", F.explode(F.when(odd, F.array(game, game + 1)).otherwise(F.array(game))))
+    return top.select("game", F.col("c_nationkey").alias("team"), F.col("c_custkey").alias("player"), (F.col("c_nationkey") % 2 == 0).alias("home"),
                       F.when(F.col("r") == 2, 0.5).otherwise(0.97).alias("play_probability"), (40 - 2.5 * F.col("r")).alias("minutes"), F.lit(3.0).alias("std_minutes"),
                       *[x.alias(n) for n, x in cols.items()], *[(x * 0.4).alias(n.replace("mean", "std")) for n, x in cols.items()])
 

@@ -213,3 +213,15 @@ def test_scraped(spark):
     static = spark.createDataFrame([("a", 110.0), ("b", 105.0)], "team string, r double")
     few = s.ranked_ratings(static.limit(0), "team", "r", static, 2).collect()
     assert {x.team: x.league_rank for x in few} == {"b": 1, "a": 2}
+
+
+def test_rosters_hold_all_nations(spark):
+    import os
+
+    from tallyspark.plans.domain import rosters
+
+    sf = os.environ.get("TALLYSPARK_TEST_SF", "/root/testdata/sf0.001")
+    nations = {r.c_nationkey for r in spark.read.parquet(f"{sf}/customer.parquet").select("c_nationkey").distinct().collect()}
+    sides = {(r.game, r.team, r.home) for r in rosters(spark, sf).select("game", "team", "home").distinct().collect()}
+    assert {t for _, t, _ in sides} == nations
+    assert all(sorted(h for g, _, h in sides if g == game) == [False, True] for game, _, _ in sides)
