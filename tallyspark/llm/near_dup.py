@@ -198,7 +198,7 @@ def _confirm(pairs: DataFrame, docs: DataFrame, size: int, per_cent: int) -> Dat
 def _rest(members: DataFrame, per_cent: int, miss: float, best: int | None) -> DataFrame:
     """Plausible pairs between different components of a bucket, its smallest member left out.
 
-    members: key, band, doc_id, component, n_shingles, signature. A pair that shares several bands counts in the first of them. Members of other components than the bucket's largest
+    members: key, band, doc_id, component, n_shingles, signature, bands. A pair that shares several bands counts in the first of them. Members of other components than the bucket's largest
     (the queries) meet all members, block by block. best: pairs of a query in a block, the likeliest; None: all.
     """
     size = members.groupBy("key", "component").agg(F.count("*").alias("n"))
@@ -215,7 +215,7 @@ def _rest(members: DataFrame, per_cent: int, miss: float, best: int | None) -> D
         "cell", cell(F.col("q"), F.col("h") % F.col("mb")))
     asks = rows.where("query").select("*", F.explode(F.sequence(F.lit(0), F.col("mb") - 1)).alias("m"), F.lit(True).alias("asks")).withColumn(
         "cell", cell(F.col("h") % F.col("qb"), F.col("m")))
-    names = ["cell", "band", "asks", "doc_id", "component", "n_shingles", "signature"]
+    names = ["cell", "band", "asks", "doc_id", "component", "n_shingles", "signature", "bands"]
     dealt = other.select(*names).union(asks.select(*names)).repartition("cell").sortWithinPartitions("cell", "asks")
     width, threshold = HASHES, per_cent / 100
 
@@ -230,10 +230,11 @@ def _rest(members: DataFrame, per_cent: int, miss: float, best: int | None) -> D
             if not len(x) or not len(y):
                 return
             sig = _bytes(table["signature"].combine_chunks(), width)
+            bands = table["bands"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, BANDS)
             for k in x:
                 at = y[(comp[y] != comp[k]) & (100 * np.minimum(n[y], n[k]) >= per_cent * np.maximum(n[y], n[k]))]
                 if len(at) and band:
-                    earlier = (sig[at, : band * DEPTH] == sig[k, : band * DEPTH]).reshape(len(at), band, DEPTH).all(axis=2).any(axis=1)
+                    earlier = (bands[at, :band] == bands[k, :band]).any(axis=1)
                     at = at[~earlier]
                 if len(at):
                     keep = at[plausible(np.broadcast_to(sig[k], (len(at), width)), sig[at], threshold, miss)]
@@ -300,7 +301,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, per_cent: int = 80, miss: fl
         named = inside.where("n > 2").select("key", "band", "doc_id").join(final.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn(
             "component", F.coalesce("component", "doc_id"))
         split = named.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
-        rest = named.join(split, "key", "left_semi").join(signed, "doc_id")
+        rest = named.join(split, "key", "left_semi").join(nodes.select("doc_id", "signature", "n_shingles", "bands"), "doc_id")
         pairs = _rest(rest, per_cent, miss, best)
         pairs = cut(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
         if pairs.isEmpty():

@@ -85,3 +85,12 @@ def test_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 100), (None, 3)], "a int, b int")
     for local in (200_000, 5):
         assert {(r.id, r.component) for r in components(edges.repartition(6), "a", "b", local_edges=local).collect()} == {(i, 0) for i in range(41)}
+
+
+def test_bands_are_shared_by_their_keys_only(spark):
+    """Signatures are equal in the first band's bytes, its keys aren't: the pair counts in the second band."""
+    sig, first = bytes(near_dup.HASHES), [[k] + [7] + [k * 100 + b for b in range(2, near_dup.BANDS)] for k in (1, 2)]
+    rows = [(7, 1, 10 + k, 10 + k, 50, sig, bands) for k, bands in enumerate(first)]
+    members = spark.createDataFrame(rows, "key long, band int, doc_id long, component long, n_shingles long, signature binary, bands array<long>")
+    for best in (near_dup.BEST, None):
+        assert {tuple(r) for r in near_dup._rest(members, 80, 1e-5, best).collect()} == {(11, 10)}
