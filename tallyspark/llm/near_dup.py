@@ -8,8 +8,10 @@
    their full sets.
 4. Where a bucket's members still belong to several components, those that aren't of the largest are
    compared with all others, in blocks of bounded size: in a first round their likeliest pairs are
-   confirmed, in a second all plausible ones that may still join two components. So no link that the
-   bands offer between two components is lost.
+   confirmed. In a second, the members that may still join two components carry their full sets into
+   their block, which decides every plausible pair there and returns only links that join components
+   of the block. So no link that the bands offer between two components is lost, and a block of n
+   members returns fewer than n links.
 5. Components come from star rounds over the confirmed links.
 
 Texts that are null, empty or without words have no shingles and are linked with nothing. A row
@@ -27,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytescan import U64, mix, scans, windows
-from .common import cut, light, prepare
+from .common import bit_table, cut, discard, in_table, prepare
 from .components import components
 
 #: Bands and hashes in each: a pair at 0.8 shares no band with probability 3e-6.
@@ -148,11 +150,13 @@ def fingerprints(docs: DataFrame, size: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
-def full_sets(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id and its distinct shingle hashes."""
+def full_sets(docs: DataFrame, size: int, wanted=None) -> DataFrame:
+    """doc_id and its distinct shingle hashes. wanted: a broadcast bit table of doc_ids; about only theirs."""
 
     def run(batches):
         for batch in batches:
+            if wanted is not None:
+                batch = batch.filter(pa.array(in_table(wanted.value, _id_hashes(batch))))
             ids = batch.column(0)
             for s in scans(batch.column(1), lower=True):
                 keys, bounds = shingle_sets(s, size)
@@ -183,23 +187,34 @@ def _prune_pairs(pairs: DataFrame, nodes: DataFrame, threshold: float, miss: flo
     return both.mapInArrow(run, "a long, b long")
 
 
+def _wanted_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """The sets of the wanted doc_ids, and of others that share their bits; one a doc_id."""
+    table = docs.sparkSession.sparkContext.broadcast(bit_table(wanted, _id_hashes))
+    return full_sets(docs.where("doc_id is not null"), size, table).groupBy("doc_id").agg(F.min("shingles").alias("shingles"))
+
+
+def _id_hashes(batch) -> np.ndarray:
+    return mix(batch.column(0).to_numpy().astype(np.int64).view(U64) + U64(1))
+
+
 def _confirm(pairs: DataFrame, docs: DataFrame, size: int, per_cent: int) -> DataFrame:
     """The pairs that are linked by their full sets; pairs is cut."""
-    wanted = cut(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "wanted")
-    sets = cut(full_sets(docs.select("doc_id", "text").join(light(wanted), "doc_id", "left_semi"), size), "sets")
+    sets = cut(_wanted_sets(docs, pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")), size), "sets")
     both = (
         pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a")
         .join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), "b")
         .withColumn("shared", F.size(F.array_intersect("sa", "sb")))
     )
-    return both.where(100 * F.col("shared") >= per_cent * (F.size("sa") + F.size("sb") - F.col("shared"))).select("a", "b")
+    found = cut(both.where(100 * F.col("shared") >= per_cent * (F.size("sa") + F.size("sb") - F.col("shared"))).select("a", "b"), "confirmed")
+    discard(sets)
+    return found
 
 
-def _rest(members: DataFrame, per_cent: int, miss: float, best: int | None) -> DataFrame:
-    """Plausible pairs between different components of a bucket, its smallest member left out.
+def _cells(members: DataFrame) -> DataFrame:
+    """cell, band, asks, doc_id, component, n_shingles, signature and bands: blocks of the buckets that hold several components.
 
-    members: key, band, doc_id, component, n_shingles, signature, bands. A pair that shares several bands counts in the first of them. Members of other components than the bucket's largest
-    (the queries) meet all members, block by block. best: pairs of a query in a block, the likeliest; None: all.
+    members: key, band, doc_id, component, n_shingles, signature, bands. Members of other components than the bucket's largest
+    ask; they meet all members, block by block.
     """
     size = members.groupBy("key", "component").agg(F.count("*").alias("n"))
     largest = size.groupBy("key").agg(F.sum("n").alias("total"), F.max(F.struct("n", "component"))["component"].alias("largest"), F.max("n").alias("most"))
@@ -215,62 +230,121 @@ def _rest(members: DataFrame, per_cent: int, miss: float, best: int | None) -> D
         "cell", cell(F.col("q"), F.col("h") % F.col("mb")))
     asks = rows.where("query").select("*", F.explode(F.sequence(F.lit(0), F.col("mb") - 1)).alias("m"), F.lit(True).alias("asks")).withColumn(
         "cell", cell(F.col("h") % F.col("qb"), F.col("m")))
-    names = ["cell", "band", "asks", "doc_id", "component", "n_shingles", "signature", "bands"]
-    dealt = other.select(*names).union(asks.select(*names)).repartition("cell").sortWithinPartitions("cell", "asks")
-    width, threshold = HASHES, per_cent / 100
+    return other.select(*_CELL).union(asks.select(*_CELL))
 
-    def run(batches):
-        held: list[pa.RecordBatch] = []
 
-        def pairs(table: pa.Table):
-            asks = table["asks"].to_numpy()
-            ids, comp, n = (table[c].to_numpy() for c in ("doc_id", "component", "n_shingles"))
-            band = table["band"][0].as_py()
-            x, y = np.flatnonzero(asks), np.flatnonzero(~asks)
-            if not len(x) or not len(y):
-                return
-            sig = _bytes(table["signature"].combine_chunks(), width)
-            bands = table["bands"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, BANDS)
-            for k in x:
-                at = y[(comp[y] != comp[k]) & (100 * np.minimum(n[y], n[k]) >= per_cent * np.maximum(n[y], n[k]))]
-                if len(at) and band:
-                    earlier = (bands[at, :band] == bands[k, :band]).any(axis=1)
-                    at = at[~earlier]
-                if len(at):
-                    keep = at[plausible(np.broadcast_to(sig[k], (len(at), width)), sig[at], threshold, miss)]
-                    if best is not None and len(keep) > best:
-                        keep = keep[np.argpartition(-(sig[keep] == sig[k]).sum(axis=1), best - 1)[:best]]
-                    for j in keep:
-                        yield max(ids[k], ids[j]), min(ids[k], ids[j])
-
-        def flush(table: pa.Table, out: list):
-            cells = table["cell"].to_numpy()
-            edges = np.concatenate([[0], np.flatnonzero(cells[1:] != cells[:-1]) + 1, [len(cells)]])
-            for a, b in zip(edges[:-1], edges[1:]):
-                out += pairs(table.slice(a, b - a))
+_CELL = ["cell", "band", "asks", "doc_id", "component", "n_shingles", "signature", "bands"]
+_CELL_DDL = "cell long, band int, asks boolean, doc_id long, component long, n_shingles long, signature binary, bands array<long>"
+
 
-        def result(out):
-            found = sorted(set(out))
-            return pa.RecordBatch.from_arrays([pa.array([int(p[0]) for p in found], pa.int64()), pa.array([int(p[1]) for p in found], pa.int64())], names=["a", "b"])
+def _plausible_in(table: pa.Table, per_cent: int, miss: float):
+    """(ask, members): row numbers of an asking row of one cell and of the members of other components that it may be linked with.
 
+    A pair that shares several bands counts in the first of them.
+    """
+    asks = table["asks"].to_numpy()
+    comp, n = table["component"].to_numpy(), table["n_shingles"].to_numpy()
+    band = table["band"][0].as_py()
+    x, y = np.flatnonzero(asks), np.flatnonzero(~asks)
+    if not len(x) or not len(y):
+        return
+    sig = _bytes(table["signature"].combine_chunks(), HASHES)
+    bands = table["bands"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, BANDS)
+    for k in x:
+        at = y[(comp[y] != comp[k]) & (100 * np.minimum(n[y], n[k]) >= per_cent * np.maximum(n[y], n[k]))]
+        if len(at) and band:
+            at = at[~(bands[at, :band] == bands[k, :band]).any(axis=1)]
+        if len(at):
+            keep = at[plausible(np.broadcast_to(sig[k], (len(at), HASHES)), sig[at], per_cent / 100, miss)]
+            if len(keep):
+                yield k, keep[np.argsort(-(sig[keep] == sig[k]).sum(axis=1), kind="stable")]
+
+
+def _by_cell(rows: DataFrame, compare, schema: str) -> DataFrame:
+    """compare(table) of each cell; yields Arrow tables of the schema."""
+    dealt = rows.repartition("cell").sortWithinPartitions("cell", "asks", "doc_id")
+
+    def run(batches):
+        held: list[pa.RecordBatch] = []
         for batch in batches:
             if not batch.num_rows:
                 continue
-            held.append(batch)
-            table = pa.Table.from_batches(held)
-            cells = table["cell"].to_numpy()
-            ready = int(np.searchsorted(cells == cells[-1], True))  # the last cell may go on
-            if ready:
-                out: list = []
-                flush(table.slice(0, ready), out)
-                held = table.slice(ready).to_batches()
-                yield result(out)
+            cells = batch.column(0).to_numpy()
+            edges = np.concatenate([[0], np.flatnonzero(cells[1:] != cells[:-1]) + 1, [len(cells)]])
+            for a, b in zip(edges[:-1], edges[1:]):
+                if held and held[-1].column(0)[0].as_py() != cells[a]:
+                    yield from compare(pa.Table.from_batches(held)).to_batches()
+                    held = []
+                held.append(batch.slice(a, b - a))
         if held:
-            out = []
-            flush(pa.Table.from_batches(held), out)
-            yield result(out)
+            yield from compare(pa.Table.from_batches(held)).to_batches()
+
+    return dealt.mapInArrow(run, schema)
+
 
-    return dealt.mapInArrow(run, "a long, b long")
+def _pairs_table(found) -> pa.Table:
+    found = sorted(set(found))
+    return pa.table([pa.array([int(p[i]) for p in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+
+def _likeliest(cells: DataFrame, per_cent: int, miss: float, best: int = BEST) -> DataFrame:
+    """Of each asking row in each cell its likeliest pairs (a, b)."""
+
+    def compare(table: pa.Table) -> pa.Table:
+        ids = table["doc_id"].to_numpy()
+        return _pairs_table((max(ids[k], ids[j]), min(ids[k], ids[j])) for k, at in _plausible_in(table, per_cent, miss) for j in at[:best])
+
+    return _by_cell(cells, compare, "a long, b long")
+
+
+def _open_rows(cells: DataFrame, per_cent: int, miss: float) -> DataFrame:
+    """The rows of the cells that take part in a plausible pair."""
+
+    def compare(table: pa.Table) -> pa.Table:
+        some = np.zeros(table.num_rows, bool)
+        for k, at in _plausible_in(table, per_cent, miss):
+            some[k] = some[at] = True
+        return table.filter(pa.array(some)).combine_chunks()
+
+    return _by_cell(cells, compare, _CELL_DDL)
+
+
+def _joining_links(rows: DataFrame, per_cent: int, miss: float) -> DataFrame:
+    """Links (a, b) that join the components of each cell as all its links do; rows: _open_rows with their sets (shingles)."""
+
+    def compare(table: pa.Table) -> pa.Table:
+        ids, comp = table["doc_id"].to_numpy(), table["component"].to_numpy()
+        sets = table["shingles"].combine_chunks()
+        flat, edges = sets.flatten().to_numpy(), sets.offsets.to_numpy() - sets.offsets[0].as_py()
+        root: dict[int, int] = {}
+
+        def find(c):
+            while root.get(c, c) != c:
+                c = root[c]
+            return c
+
+        found = []
+        for k, at in _plausible_in(table, per_cent, miss):
+            own = flat[edges[k] : edges[k + 1]]  # ascending as unsigned numbers
+            own = np.sort(own)
+            for part in range(0, len(at), 64):
+                some = at[part : part + 64]
+                some = some[[find(comp[j]) != find(comp[k]) for j in some]]
+                if not len(some):
+                    continue
+                size = edges[some + 1] - edges[some]
+                heads = np.cumsum(size) - size
+                other = flat[np.repeat(edges[some] - heads, size) + np.arange(size.sum())]
+                hit = own[np.minimum(np.searchsorted(own, other), len(own) - 1)] == other
+                both = np.add.reduceat(hit.astype(np.int64), heads)
+                for j in some[100 * both >= per_cent * (size + len(own) - both)]:
+                    a, b = find(comp[j]), find(comp[k])
+                    if a != b:
+                        root[max(a, b)] = min(a, b)
+                        found.append((max(ids[k], ids[j]), min(ids[k], ids[j])))
+        return _pairs_table(found)
+
+    return _by_cell(rows, compare, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, per_cent: int = 80, miss: float = 1e-5) -> DataFrame:
@@ -294,23 +368,28 @@ def near_duplicates(docs: DataFrame, size: int = 5, per_cent: int = 80, miss: fl
     links = _confirm(cut(_prune_pairs(stars, signed, threshold, miss), "stars"), docs, size, per_cent)
     links = cut(links.union(member.where("doc_id > rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
                             .join(nodes.select(F.col("doc_id").alias("a")), "a", "left_semi")), "links")
-    first = cut(components(links, "a", "b"), "components")
     # buckets that aren't within one component: first the likeliest pairs, then all that may still join two components
-    final, tested = first, None
-    for best in (BEST, None):
+    final = cut(components(links, "a", "b"), "components")
+
+    def cells() -> DataFrame:
         named = inside.where("n > 2").select("key", "band", "doc_id").join(final.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn(
             "component", F.coalesce("component", "doc_id"))
         split = named.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
-        rest = named.join(split, "key", "left_semi").join(nodes.select("doc_id", "signature", "n_shingles", "bands"), "doc_id")
-        pairs = _rest(rest, per_cent, miss, best)
-        pairs = cut(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        if pairs.isEmpty():
-            break
-        tested = pairs
-        more = cut(_confirm(pairs, docs, size, per_cent), "more")
+        return _cells(named.join(split, "key", "left_semi").join(nodes.select("doc_id", "signature", "n_shingles", "bands"), "doc_id"))
+
+    pairs = cut(_likeliest(cells(), per_cent, miss).distinct(), "pairs")
+    if not pairs.isEmpty():
+        more = _confirm(pairs, docs, size, per_cent)
         if not more.isEmpty():
-            links = links.union(more)
+            links = cut(links.union(more), "links")
             final = cut(components(links, "a", "b"), "components")
+        rows = cut(_open_rows(cells(), per_cent, miss), "open")
+        if not rows.isEmpty():
+            sets = _wanted_sets(docs, rows.select("doc_id").distinct(), size)
+            more = cut(_joining_links(rows.join(sets, "doc_id").select(*_CELL, "shingles"), per_cent, miss), "more")
+            if not more.isEmpty():
+                links = cut(links.union(more), "links")
+                final = cut(components(links, "a", "b"), "components")
     found = member.join(final.withColumnRenamed("id", "rep"), "rep", "left").select(
         "doc_id", F.coalesce("component", "rep").alias("component_id")).groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
     return prints.select("doc_id", "n_shingles").join(found, "doc_id", "left").select(

@@ -92,5 +92,17 @@ def test_bands_are_shared_by_their_keys_only(spark):
     sig, first = bytes(near_dup.HASHES), [[k] + [7] + [k * 100 + b for b in range(2, near_dup.BANDS)] for k in (1, 2)]
     rows = [(7, 1, 10 + k, 10 + k, 50, sig, bands) for k, bands in enumerate(first)]
     members = spark.createDataFrame(rows, "key long, band int, doc_id long, component long, n_shingles long, signature binary, bands array<long>")
-    for best in (near_dup.BEST, None):
-        assert {tuple(r) for r in near_dup._rest(members, 80, 1e-5, best).collect()} == {(11, 10)}
+    cells = near_dup._cells(members)
+    assert {tuple(r) for r in near_dup._likeliest(cells, 80, 1e-5).collect()} == {(11, 10)}
+    assert {r.doc_id for r in near_dup._open_rows(cells, 80, 1e-5).collect()} == {10, 11}
+
+
+def test_a_block_returns_links_that_join_components_only(spark):
+    """Twelve documents, each like the next but unlike the one after it: eleven links of 66 pairs join all."""
+    sig = bytes(near_dup.HASHES)
+    sets = [[*range(10 * k, 10 * k + 100)] for k in range(12)]
+    rows = [(7, 0, k, k, 100, sig, [7] + [k * 100 + b for b in range(1, near_dup.BANDS)], s) for k, s in enumerate(sets)]
+    members = spark.createDataFrame(rows, "key long, band int, doc_id long, component long, n_shingles long, signature binary, bands array<long>, shingles array<long>")
+    open_rows = near_dup._open_rows(near_dup._cells(members.drop("shingles")), 80, 1e-5)
+    links = near_dup._joining_links(open_rows.join(members.select("doc_id", "shingles"), "doc_id").select(*near_dup._CELL, "shingles"), 80, 1e-5).collect()
+    assert sorted(map(tuple, links)) == [(k + 1, k) for k in range(11)]
