@@ -135,15 +135,15 @@ def light(df: DataFrame, *lists: str) -> DataFrame:
 TABLE = 1 << 20
 
 
-def bit_places(hashes):
+def bit_places(hashes, words: int):
     """The word and the bit of each 64-bit hash in a bit table."""
     import numpy as np
 
-    return ((hashes >> np.uint64(6)) & np.uint64(TABLE - 1)).astype(np.int64), hashes & np.uint64(63)
+    return ((hashes >> np.uint64(6)) & np.uint64(words - 1)).astype(np.int64), hashes & np.uint64(63)
 
 
-def bit_table(df: DataFrame, hashes):
-    """A table of fixed size with the bits of hashes(batch), an array of 64-bit hashes for each batch of df, set.
+def bit_table(df: DataFrame, hashes, words: int = TABLE):
+    """A table of fixed size, a power of two of 64-bit words, with the bits of hashes(batch), an array of 64-bit hashes for each batch of df, set.
 
     It only lets rows through early: others may share a bit, so what passes still has to be joined.
     """
@@ -152,10 +152,10 @@ def bit_table(df: DataFrame, hashes):
     def run(batches):
         import pyarrow as pa
 
-        held = np.zeros(TABLE, np.uint64)
+        held = np.zeros(words, np.uint64)
         for batch in batches:
             if batch.num_rows:
-                word, bit = bit_places(hashes(batch))
+                word, bit = bit_places(hashes(batch), words)
                 np.bitwise_or.at(held, word, np.uint64(1) << bit)
         word = np.flatnonzero(held)
         for k in range(0, len(word), 1 << 16):
@@ -163,12 +163,12 @@ def bit_table(df: DataFrame, hashes):
             yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(held[part].view(np.int64))], names=["word", "bits"])
 
     rows = df.mapInArrow(run, "word int, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
-    out = np.zeros(TABLE, np.int64)
+    out = np.zeros(words, np.int64)
     out[rows["word"].to_numpy()] = rows["bits"].to_numpy()
     return out.view(np.uint64)
 
 
 def in_table(held, hashes):
     """Which of the hashes may be in the table."""
-    word, bit = bit_places(hashes)
+    word, bit = bit_places(hashes, len(held))
     return (held[word] >> bit) % 2 == 1
