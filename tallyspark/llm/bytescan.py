@@ -37,7 +37,8 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _grown(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """At least n powers of the base of rolling hashes, and of its inverse."""
     if len(_powers[0]) < n:
         for k, base in enumerate((_BASE, _INVERSE)):
             steps = np.full(max(n, CHUNK + 1), base, U64)
@@ -95,7 +96,7 @@ class Scan:
     def prefix(self) -> np.ndarray:
         if self._prefix is None:
             n = len(self.raw)
-            power, _ = _grown(n + 1)
+            power, _ = powers(n + 1)
             sums = np.zeros(n + 1, U64)
             np.cumsum(_BYTE[self.raw] * power[:n], out=sums[1:])
             self._prefix = sums
@@ -104,7 +105,7 @@ class Scan:
     def hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """A hash of the bytes of each span, the same wherever they stand."""
         sums = self.prefix()
-        _, inverse = _grown(len(self.raw) + 1)
+        _, inverse = powers(len(self.raw) + 1)
         return mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(U64))
 
     def words(self) -> np.ndarray:
