@@ -1,7 +1,8 @@
 """BPE encoding and decoding with batched NumPy merge rounds.
 
 The symbols of many words lie in one flat array. In each round every word merges all occurrences of
-its lowest-rank pair; ranks are found by binary search over the sorted pair keys. Words (maximal runs
+its lowest-rank pair; ranks are found by binary search over the sorted pair keys. Very long words, whose
+rounds would take the square of their length, are merged by a heap. Words (maximal runs
 without white space) that a worker has met before come from a bounded cache, so texts cost one
 dictionary look-up per word.
 
@@ -17,6 +18,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import heapq
 import json
 import re
 import unicodedata
@@ -29,6 +31,8 @@ from .common import prepare, with_arrow_columns
 
 #: Words that a worker remembers; beyond that the memory starts anew.
 REMEMBERED = 400_000
+#: Bytes of a word from which it is merged by itself.
+LONG = 400
 #: Characters that Python takes for white space and the tokenizers' patterns don't.
 _NOT_SPACE = re.compile("[\x1c-\x1f]")
 
@@ -64,10 +68,17 @@ class WordBPE:
         made = np.array([vocab[a + b] for a, b in pairs], np.int64)
         order = np.argsort(keys, kind="stable")
         self.keys, self.ranks, self.made = keys[order], order.astype(np.int64), made
+        self.pairs: dict[int, tuple[int, int]] = {}
         self.cache: dict[str, bytes] = {}
 
     def merge(self, symbols: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
         """Symbols of words laid end to end, and the words' sizes -> the ids of each word."""
+        long = sizes > LONG
+        if long.any():
+            ends = np.cumsum(sizes)
+            inside = np.repeat(~long, sizes)
+            rest = iter(self.merge(symbols[inside], sizes[~long]))
+            return [self.merge_long(symbols[e - n : e].tolist()) if far else next(rest) for e, n, far in zip(ends, sizes, long)]
         none = np.int64(len(self.made))
         word = np.repeat(np.arange(len(sizes)), sizes)
         done_words, done_symbols = [], []
@@ -111,6 +122,28 @@ class WordBPE:
         flat = ids[order].astype("<u4")
         return [flat[a:b] for a, b in zip(edges[:-1], edges[1:])]
 
+    def merge_long(self, symbols: list[int]) -> np.ndarray:
+        """The ids of one long word, by a heap of its pairs: rounds over the whole word would take the square of its length."""
+        if not self.pairs:
+            self.pairs = {k: (r, m) for k, r, m in zip(self.keys.tolist(), self.ranks.tolist(), self.made[self.ranks].tolist())}
+        n, pairs = len(symbols), self.pairs
+        before, after = list(range(-1, n - 1)), [*range(1, n), -1]
+        heap = [(found[0], i, symbols[i], symbols[i + 1]) for i in range(n - 1) if (found := pairs.get(symbols[i] << 32 | symbols[i + 1]))]
+        heapq.heapify(heap)
+        while heap:
+            _, i, a, b = heapq.heappop(heap)
+            j = after[i]
+            if symbols[i] != a or j < 0 or symbols[j] != b:  # one of them has merged since
+                continue
+            symbols[i], symbols[j] = pairs[a << 32 | b][1], -1
+            after[i] = after[j]
+            if after[j] >= 0:
+                before[after[j]] = i
+            for x, y in ((before[i], i), (i, after[i])):
+                if x >= 0 and y >= 0 and (found := pairs.get(symbols[x] << 32 | symbols[y])):
+                    heapq.heappush(heap, (found[0], x, symbols[x], symbols[y]))
+        return np.array([x for x in symbols if x >= 0], "<u4")
+
     def learn(self, runs: list[str]) -> dict[str, bytes]:
         """Ids, as little-endian 32-bit integers, of runs without white space that hold no special token."""
         pieces: dict[str, int] = {}

@@ -15,6 +15,7 @@ table gives an empty one. A text longer than a sequence spans several.
 from __future__ import annotations
 
 import functools
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +29,8 @@ from .common import prepare
 LIMITS = (1024, 64, 1023)
 #: Tails that wait for a place at once.
 WINDOW = 2048
+#: White space, as the pattern has it, that is encoded apart from the rest.
+_LONG_SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{1024,}")
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
@@ -48,9 +51,20 @@ class ByteBPE:
         special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         ranks = {bytes(code[ord(c)] for c in text): i for text, i in spec["model"]["vocab"].items() if text not in special}
         self.model = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
+        self.special = tuple(special)
 
     def encode(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids; special tokens in the text are read as such, as the file says."""
+        out, at = [], 0
+        for run in _LONG_SPACE.finditer(text):
+            # the pattern would backtrack over all of the run; it is one word, without its last character if a word follows
+            end = run.end() if run.end() == len(text) or text.startswith(self.special, run.end()) else run.end() - 1
+            out.append(self._encode(text[at : run.start()]))
+            out.append(np.array(self.model._encode_single_piece(text[run.start() : end]), "<u4").tobytes())
+            at = end
+        return b"".join([*out, self._encode(text[at:])])
+
+    def _encode(self, text: str) -> bytes:
         return self.model.encode_to_numpy(text, allowed_special="all").astype("<u4", copy=False).tobytes()
 
 

@@ -181,7 +181,9 @@ def verdict(rules: list[Rule]) -> tuple[Column, Column]:
 def fit(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> list[Rule]:
     """The decision list of at most `limit` labelled rows of docs."""
     some = labelled_sample(labels, limit)
-    rows = text_statistics(docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")).select("quality", *STATISTICS).toArrow()
+    rows = text_statistics(docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")).select("doc_id", "quality", *STATISTICS).toArrow()
+    # rows come in the order of tasks; the list must not depend on it
+    rows = rows.sort_by([(n, "ascending") for n in rows.column_names])
     data = {n: rows[n].to_numpy().astype(float) for n in STATISTICS}
     x = np.stack(features(data.__getitem__), axis=1) if rows.num_rows else np.zeros((0, len(FEATURES)))
     return learn_list(x, rows["quality"].to_numpy() == 0)

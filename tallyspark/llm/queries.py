@@ -48,7 +48,9 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import url_filter
 
-    out = url_filter.url_filter(table(spark, sf_dir, "pages").select("page_id", "url"), table(spark, sf_dir, "labels"))
+    # labels that speak of pages: what the fixed rules say of those that they cover
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    out = url_filter.url_filter(pages, url_filter.rule_labels(pages))
     return out.select("page_id", "host", "path", "rule", "verdict", "mined")
 
 

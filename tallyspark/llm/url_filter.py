@@ -6,7 +6,7 @@ least confidence and support. Rules are matched through an inverted index from t
 DataFrame and SQL operations run, on distinct URLs, so a frequent URL is judged once.
 
 Null URLs and those without "://" have an empty host and path and no tokens; no rule fits them and
-they're allowed. Repeated rows repeat. An empty table gives an empty one; without labels no rules are
+they're allowed. Repeated rows repeat; of several labels of a page the best counts. An empty table gives an empty one; without labels no rules are
 mined and all is allowed that no fixed rule blocks.
 """
 
@@ -20,7 +20,7 @@ from .common import cut, light
 #: (host, path, verdict)
 RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
 #: Of the labelled URLs, the least share and number that hold a rule's tokens and are bad; the least share of bad ones among those that hold them.
-SUPPORT, COUNT, CONFIDENCE = 0.004, 20, 0.6
+SUPPORT, COUNT, CONFIDENCE = 0.004, 20, 0.8
 #: Tokens of a mined rule, at most.
 LENGTH = 3
 _CAPITALS, _SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -54,11 +54,18 @@ def tokens(url: Column) -> Column:
     return F.array_distinct(F.concat(named("h=", plain(host(low), "[.:-]")), named("p=", plain(path(low), "[/._-]")), named("q=", names)))
 
 
+def rule_labels(pages: DataFrame, rules=RULES) -> DataFrame:
+    """doc_id (the page's) and quality of the pages that a fixed rule covers: 0 where it blocks, else 1."""
+    _, said = fixed_rule(host(F.col("url")), path(F.col("url")), rules)
+    rows = pages.select(F.col("page_id").alias("doc_id"), said.alias("said")).where("said is not null")
+    return rows.select("doc_id", F.when(F.col("said") == "block", 0).otherwise(1).alias("quality"))
+
+
 def mine(pages: DataFrame, labels: DataFrame) -> DataFrame:
     """rule (array of tokens), confidence, support: combinations that go with label `bad`."""
     from pyspark.ml.fpm import FPGrowth
 
-    known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     rows = pages.select(F.col("page_id").alias("doc_id"), tokens(F.col("url")).alias("tokens")).join(known, "doc_id")
     items = cut(rows.select(F.when(F.col("quality") == 0, F.concat("tokens", F.array(F.lit("bad")))).otherwise(F.col("tokens")).alias("items")).where("size(items) > 0"), "items")
     n = items.count()

@@ -48,3 +48,20 @@ def test_query_columns(spark, documents, odd_texts, library):
     both = bpe.encode_decode(documents(odd_texts), PATH).orderBy("doc_id").collect()
     assert [(bytes(r.ids), r.decoded) for r in both] == [expect(library, t) for t in odd_texts]
     assert bpe.digests(documents([]), PATH).count() == 0
+
+
+def test_long_words():
+    """Words of many letters take little time and give the library's ids."""
+    import time
+
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library, own = Tokenizer.from_file(path), bpe.load(path)
+    rng = np.random.default_rng(3)
+    texts = ["".join(rng.choice(list("etaoinshr"), n)) for n in (399, 400, 401, 5000)] + ["ab" * 3000, "a" * 5001, "é" * 700, "x " + "".join(rng.choice(list("etaoin"), 900)) + " y z"]
+    for text, ids in zip(texts, own.encode(texts)):
+        assert np.frombuffer(ids, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+    began = time.time()
+    own.encode(["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 500_000))])
+    assert time.time() - began < 30

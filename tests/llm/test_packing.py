@@ -78,3 +78,15 @@ def test_documents(spark, documents, odd_texts):
         assert r.doc_tokens == len(ids[r.doc_id])
         assert r.ids_crc32 == zlib.crc32(ids[r.doc_id][r.start : r.start + r.length].tobytes())
     assert packing.pieces_with_checksums(documents([]), PATH).count() == 0
+
+
+def test_long_white_space():
+    """Runs that the pattern would backtrack over give the library's ids."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library, own = Tokenizer.from_file(path), packing.load(path)
+    for run in (" " * 300_000, "\n" * 300_000, "\t \n" * 2000, " " * 1024, "\u3000" * 1500, "\x1c" * 2000):
+        for text in (run, "a" + run, run + "b", "it's" + run + "b c", run + "<|endoftext|>" + run, "x" + run + "\n"):
+            assert np.frombuffer(own.encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids

@@ -51,3 +51,11 @@ def test_whole_operator(spark, documents, odd_texts):
     assert all(rows[180 + i].base_failed and not rows[180 + i].kept for i in range(len(odd_texts)))
     empty = q.quality_rules(docs.limit(0), labels.limit(0))
     assert empty.count() == 0
+
+
+def test_the_list_does_not_depend_on_the_order_of_rows(spark, documents):
+    rng = np.random.default_rng(5)
+    texts = [" ".join(rng.choice(["alpha", "beta", "gamma", "#", "$$", "x1"], rng.integers(20, 200), p=[0.3, 0.2, 0.2, 0.1, 0.1, 0.1] if i % 2 else [0.4, 0.3, 0.3, 0, 0, 0])) for i in range(300)]
+    labels = spark.createDataFrame([(i, int(rng.random() < (0.2 if i % 2 else 0.9)), 0) for i in range(300)], "doc_id long, quality int, toxic int")
+    docs = documents(texts)
+    assert len({str(q.fit(docs.repartition(n), labels)) for n in (1, 3, 8)}) == 1

@@ -40,3 +40,15 @@ def test_mined_rules(spark):
     plain = u.url_filter(pages, labels)
     assert "Python" not in plain._jdf.queryExecution().toString() and "Arrow" not in plain._jdf.queryExecution().toString()
     assert u.url_filter(pages.limit(0), labels).count() == 0
+
+
+def test_rules_mined_from_what_the_fixed_rules_say(spark):
+    urls = [f"https://s{i % 9}.{('net', 'com', 'info')[i % 3]}/{('de', 'fr', 'en')[i // 3 % 3]}/{i}" for i in range(900)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    labels = u.rule_labels(pages)
+    want = {i: v for i, x in enumerate(urls) if (v := brute(x)[2][1])}
+    assert {r.doc_id: "allow" if r.quality else "block" for r in labels.collect()} == want
+    rows = u.url_filter(pages, labels).collect()
+    mined = [r for r in rows if r.mined]
+    assert mined and all(r.rule is None and r.verdict == "block" and "/de/" in r.url for r in mined)
+    assert {r.page_id for r in mined} == {i for i, x in enumerate(urls) if i not in want and "/de/" in x}
