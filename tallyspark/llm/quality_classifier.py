@@ -134,13 +134,16 @@ def train(counts: np.ndarray, labels: np.ndarray, vocabulary: np.ndarray, seed:
     """Inverse document frequencies, the latent basis by subspace iteration, and the labelled vectors."""
     n, width = counts.shape
     weight = np.log((1 + n) / (1 + (counts > 0).sum(axis=0))).astype(np.float32) + np.float32(0.2)
-    x = _weights(counts, weight, len(vocabulary))
+    # in parts, for the driver's memory
+    parts = [_weights(counts[k : k + 256], weight, len(vocabulary)) for k in range(0, n, 256)]
+    x = np.concatenate(parts) if parts else np.zeros((0, width), np.float32)
+    del parts
     rank = min(RANK, n, width)
     basis = np.random.default_rng(seed).standard_normal((width, rank)).astype(np.float32)
     for _ in range(6):
         basis = np.linalg.qr(x.T @ (x @ basis))[0] if n else basis
     model = Model(vocabulary, weight, basis, np.zeros((0, rank), np.float32), labels.astype(np.float32))
-    model.vectors = model.project(counts)
+    model.vectors = _unit(x @ basis)
     return model
 
 
@@ -169,8 +172,14 @@ def fit(docs: DataFrame, labels: DataFrame, *conditions: Column, limit: int = SA
     words = known.select("text").mapInArrow(distinct, "word long").groupBy("word").count().orderBy(F.desc("count"), "word").limit(WORDS)
     vocabulary = np.sort(words.toArrow()["word"].to_numpy().view(U64))
     rows = _counts(known, vocabulary).toArrow()
-    counts = np.frombuffer(b"".join(rows["counts"].to_pylist()), np.float32).reshape(rows.num_rows, len(vocabulary) + FORMS)
     quality = rows["quality"].to_numpy()
+    counts = np.empty((rows.num_rows, len(vocabulary) + FORMS), np.float32)
+    at = 0
+    for chunk in rows["counts"].chunks:
+        for row in chunk:
+            counts[at] = np.frombuffer(row.as_buffer(), np.float32)
+            at += 1
+    del rows
     order = np.lexsort((*counts.T[-4:], counts.sum(axis=1), quality))  # the same whatever the tasks' order
     return train(counts[order], quality[order], vocabulary)
 
