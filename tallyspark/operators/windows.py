@@ -6,6 +6,8 @@ value needs `least` non-null values, else it's null.
 
 from __future__ import annotations
 
+import os
+import tempfile
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -103,12 +105,24 @@ def decay(day: Column, last: Column, rate: float = 0.023, low: float = 0.1, high
     return F.greatest(F.lit(low), F.least(F.lit(high), F.exp(-F.lit(rate) * F.datediff(last, day))))
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df, written once into the shared checkpoint folder; only a local master may do without that setting."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        path = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if path is None and not (context.master == "local" or context.master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir is not set: this operator needs a folder that driver and executors share")
+        context.setCheckpointDir(path or os.path.join(tempfile.gettempdir(), "tallyspark-checkpoints"))
+    return df.checkpoint()
+
+
 def numbered(df: DataFrame, order: Sequence[str], name: str = "row_no") -> DataFrame:
     """df with its rows numbered from 0 in a global order, without bringing them into one task.
 
-    Rows are range-partitioned and numbered inside partitions; only the partitions' counts meet.
+    Rows are range-partitioned and numbered inside partitions; only the partitions' counts meet. The parted rows
+    are checkpointed: planned twice, they could be parted in two ways, and rows and counts wouldn't fit.
     """
-    spread = df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id())
+    spread = checkpointed(df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()))
     inside = spread.withColumn("__at", F.row_number().over(Window.partitionBy("__part").orderBy(*order)))
     counts = inside.groupBy("__part").agg(F.count("*").alias("__n"))
     offsets = counts.withColumn("__before", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))

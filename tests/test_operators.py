@@ -225,3 +225,23 @@ def test_rosters_hold_all_nations(spark):
     sides = {(r.game, r.team, r.home) for r in rosters(spark, sf).select("game", "team", "home").distinct().collect()}
     assert {t for _, t, _ in sides} == nations
     assert all(sorted(h for g, _, h in sides if g == game) == [False, True] for game, _, _ in sides)
+
+
+def test_numbers_hold_when_partitions_are_coalesced(spark):
+    """Wide rows whose partitions adaptive execution merges: every row comes back, numbered without a gap."""
+    from pyspark.sql import functions as F
+
+    from tallyspark.operators import windows
+
+    forced = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "200k", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "10k",
+              "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false", "spark.sql.shuffle.partitions": "64"}
+    before = {k: spark.conf.get(k) for k in forced}
+    try:
+        for k, v in forced.items():
+            spark.conf.set(k, v)
+        df = spark.range(40_000).select(F.xxhash64("id").alias("x"), "id", *[F.sha2(F.concat(F.col("id").cast("string"), F.lit(f"-{k}")), 256).alias(f"w{k}") for k in range(6)])
+        got = windows.numbered(df, ["x"]).select("x", "row_no").orderBy("row_no").collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert [r.row_no for r in got] == list(range(40_000)) and [r.x for r in got] == sorted(r.x for r in got)
