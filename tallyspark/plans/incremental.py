@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -13,8 +15,12 @@ from .registry import query, table
 
 
 def scratch(spark, name: str) -> str:
-    """A new folder that driver and executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/tallyspark-checkpoints"
+    """A new folder that driver and executors share; only a local master may do without spark.checkpoint.dir."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if base is None:
+        if not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir is not set: streams and sinks need a folder that driver and executors share")
+        base = os.path.join(tempfile.gettempdir(), "tallyspark-checkpoints")
     return f"{base}/{name}-{uuid.uuid4().hex}"
 
 
@@ -33,12 +39,10 @@ def stream_incremental_upsert(spark, sf):
 @query("stream_windowed_errors", f"""WITH d AS (SELECT CAST(ts AS DATE) AS day, value FROM events), w AS (SELECT unnest(generate_series(day - INTERVAL 6 DAY, CAST(day AS TIMESTAMP), INTERVAL 1 DAY)) AS s, value FROM d)
   SELECT strftime(s, '%Y-%m-%d') AS start, CAST(count(*) AS BIGINT) AS n, {fixed_sql('sum(value)')} AS total FROM w GROUP BY 1""")
 def stream_windowed_errors(spark, sf):
-    rows = table(spark, sf, "events").select(F.col("ts").cast("timestamp").alias("ts"), "value")
     stream = spark.readStream.schema(table(spark, sf, "events").schema).parquet(f"{sf}/events.parquet*").select(F.col("ts").cast("timestamp").alias("ts"), "value")
     name = f"errors_{uuid.uuid4().hex}"
     q = inc.windowed_errors(stream, "ts", "value", "7 days", "1 day").writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
     q.awaitTermination()
-    del rows
     return spark.table(name).select(F.date_format("window.start", "yyyy-MM-dd").alias("start"), "n", fixed(F.col("total")).alias("total"))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,23 +12,36 @@ from ..operators.relational import upsert
 
 
 class VersionedTable:
-    """A Parquet table that micro-batches upsert into: each version is written whole, then the pointer moves.
+    """A Parquet table that micro-batches upsert into: each version is written whole, then noted as done.
 
-    A batch that runs again overwrites its own version, so a lost executor or driver leaves no half state.
+    The notes lie beside the data, so a new driver goes on from the last version. A batch that runs again starts from
+    the version before its own and overwrites that, so a lost executor or driver leaves no half state.
     """
 
     def __init__(self, spark, path: str, keys: Sequence[str], order: str) -> None:
-        self.spark, self.path, self.keys, self.order, self.version = spark, path, list(keys), order, None
-
-    def read(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/v{self.version}")
+        self.spark, self.path, self.keys, self.order = spark, path, list(keys), order
+
+    def version(self, before: int | None = None) -> int | None:
+        """The newest version done, of those before a batch if it's given; None if there's none."""
+        try:
+            done = self.spark.read.schema("version long").parquet(f"{self.path}/done")
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return None
+        return done.where(F.lit(True) if before is None else F.col("version") < before).agg(F.max("version")).first()[0]
+
+    def read(self, version: int | None = None) -> DataFrame:
+        version = self.version() if version is None else version
+        if version is None:
+            raise ValueError(f"no version has been written to {self.path}")
+        return self.spark.read.parquet(f"{self.path}/v{version}")
 
     def merge(self, batch: DataFrame, batch_id: int) -> None:
-        rows = batch if self.version is None else upsert(self.read(), batch, self.keys, self.order)
-        if self.version is None:
-            rows = upsert(batch.limit(0), batch, self.keys, self.order)
+        last = self.version(batch_id)
+        rows = upsert(batch.limit(0) if last is None else self.read(last), batch, self.keys, self.order)
         rows.write.mode("overwrite").parquet(f"{self.path}/v{batch_id}")
-        self.version = batch_id
+        self.spark.range(batch_id, batch_id + 1, numPartitions=1).toDF("version").write.mode("append").parquet(f"{self.path}/done")
 
 
 def run_upsert(stream: DataFrame, target: VersionedTable, checkpoint: str) -> DataFrame:
