@@ -16,11 +16,15 @@ from .windowed import _W, roll_sql
 _POS = "CASE c_custkey % 5 WHEN 0 THEN 'PG' WHEN 1 THEN 'SG' WHEN 2 THEN 'SF' WHEN 3 THEN 'PF' ELSE 'C' END"
 
 
-def position():
-    k = F.col("c_custkey") % 5
+def place_of(player):
+    k = player % 5
     return F.when(k == 0, "PG").when(k == 1, "SG").when(k == 2, "SF").when(k == 3, "PF").otherwise("C")
 
 
+def position():
+    return place_of(F.col("c_custkey"))
+
+
 @query("lineup_prediction", f"""WITH p AS (SELECT c_nationkey, c_custkey, c_acctbal, {_POS} AS position FROM customer WHERE c_custkey % 7 <> 0), f AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY c_nationkey, position ORDER BY c_acctbal DESC, c_custkey) = 1 THEN 1 ELSE 0 END AS own FROM p),
   s AS (SELECT *, CAST(row_number() OVER (PARTITION BY c_nationkey ORDER BY own DESC, c_acctbal DESC, c_custkey) AS INT) AS slot FROM f) SELECT c_nationkey, c_custkey, position, slot FROM s WHERE slot <= 5""")
 def lineup_prediction(spark, sf):
@@ -54,17 +58,26 @@ def versus_team(spark, sf):
     return out.select("user_id", "event_type", "games", fixed(F.col("mean")).alias("mean"), "trend")
 
 
-@query("player_pairs", f"""WITH p AS (SELECT c_custkey AS player, c_nationkey AS team, c_nationkey // 2 AS game, {_POS} AS position FROM customer WHERE c_custkey % 10 = 1)
-  SELECT CAST(count(*) AS BIGINT) AS n, CAST(sum(CASE WHEN a.team = b.team THEN 1 ELSE 0 END) AS BIGINT) AS mates, {fixed_sql("sum(CASE WHEN a.team = b.team THEN 0.0 WHEN a.position IN ('PG','SG') AND b.position IN ('PG','SG') THEN 0.05::DOUBLE WHEN a.position = b.position THEN 0.08 ELSE -0.02 END)")} AS opposing_pts
-  FROM p a JOIN p b ON a.game = b.game AND a.player < b.player""")
+_ON_POS = lambda s, k: f"CASE {s} % 5 WHEN 0 THEN 'PG' WHEN 1 THEN 'SG' WHEN 2 THEN 'SF' WHEN 3 THEN 'PF' ELSE 'C' END AS {k}"
+
+
+def _pair_sql(values: dict, take, default: float) -> str:
+    tests = " ".join(f"WHEN (a.position = '{x}' AND b.position = '{y}') OR (a.position = '{y}' AND b.position = '{x}') THEN {take(v)}::DOUBLE" for (x, y), v in values.items())
+    return f"CASE {tests} ELSE {default}::DOUBLE END"
+
+
+@query("player_pairs", f"""WITH p AS (SELECT DISTINCT l_orderkey AS game, l_suppkey AS player, l_suppkey % 2 AS team, 0.2::DOUBLE + (l_suppkey % 3)*0.03::DOUBLE AS usage, {_ON_POS('l_suppkey', 'position')} FROM lineitem),
+  c AS (SELECT a.game, a.player, b.player AS player_2,
+  CASE WHEN a.team = b.team THEN ({_pair_sql(lineup.SYNERGY, lambda v: v[1], lineup.TEAMMATES['pts'])}) - CASE WHEN a.usage*b.usage > 0.05 THEN 0.05::DOUBLE ELSE 0 END WHEN a.position IN ('PG','SG') AND b.position IN ('PG','SG') THEN 0.05::DOUBLE WHEN a.position = b.position THEN 0.08 ELSE {lineup.OPPONENTS['pts']} END AS pts,
+  CASE WHEN a.team = b.team THEN {_pair_sql(lineup.REBOUNDS, lambda v: v, lineup.TEAMMATES['reb'])} WHEN a.position IN ('PF','C') AND b.position IN ('PF','C') THEN 0.20::DOUBLE WHEN a.position = b.position THEN 0.15 ELSE {lineup.OPPONENTS['reb']} END AS reb,
+  CASE WHEN a.team = b.team THEN {_pair_sql(lineup.SYNERGY, lambda v: v[0], lineup.TEAMMATES['ast'])} WHEN a.position IN ('PG','SG') AND b.position IN ('PG','SG') THEN 0.10::DOUBLE ELSE {lineup.OPPONENTS['ast']} END AS ast
+  FROM p a JOIN p b ON a.game = b.game AND a.player < b.player)
+  SELECT game, player, player_2, {fixed_sql('pts')} AS pts_corr, {fixed_sql('reb')} AS reb_corr, {fixed_sql('ast')} AS ast_corr FROM c""")
 def player_pairs(spark, sf):
-    cust = table(spark, sf, "customer").where("c_custkey % 10 = 1")
-    players = cust.select(F.col("c_custkey").alias("player"), F.col("c_nationkey").alias("team"), F.floor(F.col("c_nationkey") / 2).alias("game"), position().alias("position"), F.lit(0.2).alias("usage"))
-    pairs = lineup.pair_correlations(players)
-    teams = players.select("player", "team")
-    both = pairs.join(teams, "player").join(teams.toDF("player_2", "team_2"), "player_2")
-    mate = F.col("team") == F.col("team_2")
-    return both.agg(F.count("*").alias("n"), F.sum(mate.cast("int")).alias("mates"), fixed(F.sum(F.when(mate, 0.0).otherwise(F.col("pts_corr")))).alias("opposing_pts"))
+    """An order is a game, the suppliers of its lines are the players: few a game, however large the tables."""
+    players = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("game"), F.col("l_suppkey").alias("player")).distinct()
+    players = players.select("game", "player", (F.col("player") % 2).alias("team"), (0.2 + (F.col("player") % 3) * 0.03).alias("usage"), place_of(F.col("player")).alias("position"))
+    return lineup.pair_correlations(players).select("game", "player", "player_2", *[fixed(F.col(c)).alias(c) for c in ("pts_corr", "reb_corr", "ast_corr")])
 
 
 @query("refinement_chain", f"""WITH e AS (SELECT event_id, {roll_sql('avg', 'value', 10, 3)} AS b, {roll_sql('avg', 'value', 3)} AS j, value AS t FROM events), x AS (SELECT event_id, t, CASE WHEN j/b > 0.1 AND j/b < 10 THEN b*0.7::DOUBLE + j*0.3::DOUBLE ELSE b END AS b1 FROM e WHERE b IS NOT NULL)

@@ -245,3 +245,21 @@ def test_numbers_hold_when_partitions_are_coalesced(spark):
         for k, v in before.items():
             spark.conf.set(k, v)
     assert [r.row_no for r in got] == list(range(40_000)) and [r.x for r in got] == sorted(r.x for r in got)
+
+
+def test_upserts_go_on_after_a_restart(spark, tmp_path):
+    from tallyspark.streaming.incremental import VersionedTable
+
+    def batch(*rows):
+        return spark.createDataFrame(rows, "k long, t long, v string")
+
+    def table():  # as a new driver would open it
+        return VersionedTable(spark, str(tmp_path / "t"), ["k"], "t")
+
+    assert table().version() is None
+    table().merge(batch((1, 1, "a"), (2, 1, "b")), 0)
+    table().merge(batch((2, 2, "c"), (3, 1, "d")), 1)
+    want = [(1, 1, "a"), (2, 2, "c"), (3, 1, "d")]
+    assert sorted(map(tuple, table().read().collect())) == want
+    table().merge(batch((2, 2, "c"), (3, 1, "d")), 1)  # the batch runs again
+    assert sorted(map(tuple, table().read().collect())) == want and table().version() == 1
