@@ -1,6 +1,6 @@
 """Registered queries over the fixture tables and their SQL."""
 
-from . import boxscore, domain, incremental, more, relational, windowed  # noqa: F401
+from . import boxscore, domain, incremental, matchup, more, relational, windowed  # noqa: F401
 from .registry import QUERIES, SQL
 
 FLAGSHIP = "feature_pipeline"
