@@ -9,7 +9,8 @@ blocks are main text; the training is the same in every run.
 
 White space inside a block becomes one blank, blocks are joined by \\n, references are decoded. Scripts,
 styles, comments and controls are no text. Null and empty pages, and pages without main text, give the
-empty text. Unclosed tags, stray end tags and cut-off pages are read as browsers do, roughly. Rows are
+empty text. Unclosed tags, stray end tags and cut-off pages are read as browsers do, roughly; a head ends at
+the first tag that can't stand in it, and of an unclosed control only the tag is skipped. Rows are
 independent: repeated rows repeat, an empty table stays empty, clashing input columns give way.
 """
 
@@ -18,6 +19,7 @@ from __future__ import annotations
 import functools
 import html as references
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -34,6 +36,8 @@ BLOCKS = frozenset(
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SKIPPED = frozenset("applet audio canvas datalist head iframe math noembed noframes noscript object script select style svg template textarea title video".split())
+RAW = frozenset("script style textarea title".split())
+HEAD = frozenset("base basefont bgsound head html link meta noscript script style template title".split())
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}),
           "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "tbody": ({"tbody", "thead", "tfoot", "tr", "td", "th"}, {"table"}),
           "thead": ({"tbody", "thead", "tfoot", "tr", "td", "th"}, {"table"}), "tfoot": ({"tbody", "thead", "tfoot", "tr", "td", "th"}, {"table"}), "option": ({"option"}, {"select"})}
@@ -45,6 +49,8 @@ _ATTRIBUTE = re.compile(r"(class|id|role|itemprop|aria-label)\s*=\s*(?:\"([^\"]*
 _WORD = re.compile(r"[a-z]+")
 _ENDS = re.compile(r"[.!?。…]")
 NUMBERS = 26
+#: Nodes whose features are held at once; a page of more has them all to itself.
+NODES = 20_000
 
 
 @dataclass
@@ -76,10 +82,27 @@ def attribute_tokens(attributes: str) -> tuple[str, ...]:
     return tuple(dict.fromkeys(found))
 
 
+def end_of_head(page: str, at: int) -> int:
+    """Where the head that starts before `at` ends: at its end tag or the first tag that can't stand in a head."""
+    while m := _TOKEN.search(page, at):
+        name = (m[2] or m[5] or "").lower()
+        if name and ((m[1] or m[4]) and name == "head" or name not in HEAD):
+            return m.start()
+        at = m.end()
+        if name in SKIPPED and name != "head" and not (m[1] or m[4]):
+            end = re.compile(rf"</{re.escape(name)}[\s/>]", re.I).search(page, at)
+            if not end and name in RAW:
+                break
+            at = end.start() if end else at
+    return len(page)
+
+
 def parse(page: str) -> Tree:
     tree = Tree()
     stack = [tree.add(-1, "#page")]
     names = ["#page"]
+    count: Counter[str] = Counter()  # of open elements, so that stray end tags needn't walk the stack
+    endless: set[str] = set()  # skipped elements of which no end tag follows
     run: list[str] = []
     linked, link, at, n = 0, False, 0, len(page)
 
@@ -94,6 +117,7 @@ def parse(page: str) -> Tree:
 
     def close(upto: int):
         flush()
+        count.subtract(names[upto:])
         del stack[upto:], names[upto:]
 
     while at < n:
@@ -113,19 +137,24 @@ def parse(page: str) -> Tree:
         if m[1] or m[4]:
             if name == "a":
                 link = False
-            elif name in BLOCKS or "-" in name:
+            elif count[name]:
                 for k in range(len(names) - 1, 0, -1):
                     if names[k] == name:
                         close(k)
                         break
             continue
-        if name in SKIPPED:
-            end = re.compile(rf"</{re.escape(name)}[\s/>]", re.I).search(page, at)
-            body = re.compile(r"<(?:body|/head)\b", re.I).search(page, at) if name == "head" else None
-            if name == "head":
-                at = body.start() if body else n
-            else:
-                at = end.start() if end else n
+        if name == "head":
+            at = end_of_head(page, at)
+            run.append(" ")
+        elif name in SKIPPED:
+            closed = name in ("svg", "math") and m[0].endswith("/>")
+            end = None if closed or name in endless else re.compile(rf"</{re.escape(name)}[\s/>]", re.I).search(page, at)
+            if end:
+                at = end.start()
+            elif not closed:
+                endless.add(name)
+                if name in RAW:
+                    at = n
             run.append(" ")
         elif name == "a":
             link = True
@@ -148,6 +177,7 @@ def parse(page: str) -> Tree:
                 continue
             stack.append(tree.add(stack[-1], name, attribute_tokens(m[3] if m[3] is not None else m[6] or "")))
             names.append(name)
+            count[name] += 1
     flush()
     return tree
 
@@ -236,7 +266,20 @@ class Model:
     trees: boosting.Boosted
 
     def extract(self, pages: list[str | None]) -> list[str]:
-        parsed = [parse(p) if p else None for p in pages]
+        out: list[str] = []
+        held: list[Tree | None] = []
+        nodes = 0
+        for page in pages:
+            tree = parse(page) if page else None
+            more = len(tree.parent) if tree else 0
+            if nodes and nodes + more > NODES:
+                out += self._texts(held)
+                held, nodes = [], 0
+            held.append(tree)
+            nodes += more
+        return out + self._texts(held)
+
+    def _texts(self, parsed: list[Tree | None]) -> list[str]:
         rows = [features(t, self.vocabulary) for t in parsed if t is not None]
         margin = self.trees.margin(np.concatenate(rows)) if rows else np.zeros(0)
         out, at = [], 0
@@ -252,8 +295,6 @@ class Model:
 @functools.cache
 def trained(pages: int = 480, seed: int = 17) -> Model:
     """The model of generated pages."""
-    from collections import Counter
-
     from .html_samples import sample
 
     rng = np.random.default_rng(seed)

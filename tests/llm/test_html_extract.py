@@ -45,13 +45,25 @@ def test_parsing():
     texts = lambda page: [t for t in h.parse(page).text if t]
     assert texts("<p>a<p>b &amp; c&eacute; &#x41; &am") == ["a", "b & cé A &am"]
     assert texts("<ul><li>a<li>b</ul>c") == ["a", "b", "c"]
-    assert texts("<script>var a='<p>x</p>'</script>y<!-- <p>z</p> -->w<style>q") == ["y w"] or texts("<script>1</script>y") == ["y"]
+    assert texts("<script>var a='<p>x</p>'</script>y<!-- <p>z</p> -->w<style>q") == ["yw"]  # a comment is nothing, not a blank
+    assert texts("<script>1</script>y") == ["y"]
+    assert texts("<html><head><meta a=1><title>T</title><style>s</style><p>a<div>b</div>") == ["a", "b"]
+    assert texts("<head><title>T</title></head>a") == ["a"] and texts("<head><script>1</script><body>a") == ["a"]
+    assert texts("<p>a<svg/>b<select>c") == ["a b c"] and texts("<svg>1</svg>d") == ["d"] and texts("<video src=x><p>e") == ["e"]
     assert texts("a  \n\t b<br>c<b>d</b>e</div></p>") == ["a b cde"]
     assert texts("<table><tr><td>1<td>2<tr><td>3</table>") == ["1", "2", "3"]
     assert texts("1 < 2 <p title='>'>x</p") == ["1 < 2", "x"]
     assert texts("") == [] and texts("<") == ["<"] and texts("<p") == []
 
 
+def test_stray_tags_take_linear_time():
+    import time
+
+    start = time.monotonic()
+    h.parse("<div>" * 50_000 + "</p>" * 50_000 + "<video>" * 20_000 + "x")
+    assert time.monotonic() - start < 10
+
+
 PAGE = """<html><head><title>T</title></head><body><header class="site-header"><a href=/>Logo</a></header><nav><ul><li><a href=/a>A</a></li><li><a href=/b>B</a></li></ul></nav>
 <div class="cookie-notice">We use cookies. Accept them all.</div><div id="content"><article><h1>The title</h1><p>First  paragraph of the text, with a <a href=x>link</a> in it. And more of it.</p>
 <div class="ad">Buy this now.</div><p>Second paragraph of the text &amp; its end, which is longer than others.</p></article></div><aside class="sidebar"><h3>Related</h3><ul><li><a href=1>One</a></li></ul></aside>
