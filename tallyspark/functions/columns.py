@@ -37,6 +37,12 @@ def ratio(a: Column, b: Column, epsilon: float = 1e-6) -> Column:
     return a / (b + F.lit(epsilon))
 
 
+def quotient(a: Column, b: Column) -> Column:
+    """a / b of doubles as IEEE 754 has it: infinite or NaN where b is 0, in ANSI mode too."""
+    by_zero = F.when(a > 0, F.when(F.isnan(a), a).otherwise(float("inf"))).when(a < 0, float("-inf")).when(a.isNotNull(), float("nan"))
+    return F.when(b == 0, by_zero).otherwise(a / b)
+
+
 def number(c: Column) -> Column:
     """The number that a text holds, null if it holds none."""
     return F.expr("1") * c.try_cast("double")

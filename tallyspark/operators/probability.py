@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import clip, ladder, norm_cdf
+from ..functions.columns import clip, ladder, norm_cdf, quotient
 
 #: Weights and league means of the four factors (shooting, turnovers, rebounds, free throws).
 FACTOR_WEIGHT = {"efg": 0.40, "tov": 0.25, "orb": 0.20, "ft": 0.15}
@@ -40,12 +40,14 @@ def trend_adjustment(change: Column, recent: Column, mean: Column, modifier: flo
     return ladder(*up, *down, otherwise=0.0) * F.lit(modifier)
 
 
-def matchup_adjustment(versus: Column, base: Column, mean: Column, weight: float = 0.35) -> Column:
-    share = (versus - base) / base
+def matchup_adjustment(versus: Column, base: Column, mean: Column, weight: float = 0.35, positive: bool = True) -> Column:
+    """What earlier matchups move a projection by; positive: nothing where versus or base isn't above 0."""
+    share = quotient(versus - base, base)
     bands = ((0.30, 0.15, 1.0), (0.20, 0.12, 0.85), (0.10, 0.08, 0.7))
     up = [(share > t, F.least(versus - mean, mean * cap) * k) for t, cap, k in bands] + [(share > 0.05, (versus - mean) * 0.5)]
     down = [(share < -t, F.greatest(versus - mean, -mean * cap) * k) for t, cap, k in bands] + [(share < -0.05, (versus - mean) * 0.5)]
-    return F.when((versus <= 0) | (base <= 0), 0.0).otherwise(ladder(*up, *down, otherwise=0.0) * F.lit(weight))
+    moved = ladder(*up, *down, otherwise=0.0) * F.lit(weight)
+    return F.when((versus <= 0) | (base <= 0), 0.0).otherwise(moved) if positive else moved
 
 
 def defense_factor(rank: Column, sensitivity: float = 0.06) -> Column:

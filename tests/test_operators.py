@@ -263,3 +263,29 @@ def test_upserts_go_on_after_a_restart(spark, tmp_path):
     assert sorted(map(tuple, table().read().collect())) == want
     table().merge(batch((2, 2, "c"), (3, 1, "d")), 1)  # the batch runs again
     assert sorted(map(tuple, table().read().collect())) == want and table().version() == 1
+
+
+def like_sql(spark, name, folder, tables):
+    """Whether the query gives its SQL's rows for these tables (pandas)."""
+    import duckdb
+
+    from tallyspark import plans
+
+    con = duckdb.connect()
+    for table, pdf in tables.items():
+        pdf.to_parquet(folder / f"{table}.parquet", coerce_timestamps="us")
+        con.sql(f"CREATE VIEW {table} AS SELECT * FROM '{folder}/{table}.parquet'")
+    got, want = plans.queries()[name](spark, str(folder)), con.sql(plans.oracle_sql()[name])
+    return sorted(map(tuple, got.select(*want.columns).collect())) == sorted(map(tuple, want.fetchall()))
+
+
+def event_table(users, kinds, values):
+    n = len(values)
+    return pd.DataFrame({"event_id": range(n), "ts": pd.Timestamp("2024-01-01") + pd.to_timedelta(range(n), "s"), "user_id": users, "event_type": kinds, "value": values, "props": ["{}"] * n})
+
+
+def test_adjustments_of_zeros(spark, tmp_path):
+    """A mean of 0, and earlier matchups of 0 under a mean above it."""
+    values = [0.0] * 6 + [10.0, 0.0, 12.0, 0.0, 14.0, 0.0, 9.0, 0.0, 3.0]
+    kinds = ["view"] * 6 + ["buy", "view"] * 4 + ["view"]
+    assert like_sql(spark, "projection_adjustments", tmp_path, {"events": event_table([1] * len(values), kinds, values)})
