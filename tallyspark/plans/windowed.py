@@ -157,11 +157,12 @@ _WT = "PARTITION BY event_type ORDER BY ts, event_id"
   SELECT event_id, {fixed_sql('coalesce(nu/(nu+20.0::DOUBLE)*mu + 20.0::DOUBLE/(nu+20.0::DOUBLE)*gm, gm)')} AS user_te, {fixed_sql('coalesce(nt/(nt+20.0::DOUBLE)*mt + 20.0::DOUBLE/(nt+20.0::DOUBLE)*gm, gm)')} AS type_te FROM e, g""")
 def target_encoding(spark, sf):
     df, _ = events(spark, sf)
-    df = w.with_overall(df, gm=F.avg("value"))
+    df = w.with_overall(df, gm=w.exact_mean(F.col("value")))
 
     def encoded(key):
         spec = w.ordered([key], EVENT)
-        return F.coalesce(w.shrunk(w.rolling(F.avg, F.col("value"), spec, None), w.count_before(spec), F.col("gm"), 20), F.col("gm"))
+        mean = w.exact_mean(F.col("value"), lambda a: a.over(w.previous(spec)))
+        return F.coalesce(w.shrunk(mean, w.count_before(spec), F.col("gm"), 20), F.col("gm"))
 
     return df.select("event_id", fixed(encoded("user_id")).alias("user_te"), fixed(encoded("event_type")).alias("type_te"))
 

@@ -289,3 +289,20 @@ def test_adjustments_of_zeros(spark, tmp_path):
     values = [0.0] * 6 + [10.0, 0.0, 12.0, 0.0, 14.0, 0.0, 9.0, 0.0, 3.0]
     kinds = ["view"] * 6 + ["buy", "view"] * 4 + ["view"]
     assert like_sql(spark, "projection_adjustments", tmp_path, {"events": event_table([1] * len(values), kinds, values)})
+
+
+def test_encoding_of_many_rows_of_one_type(spark, tmp_path):
+    """A value 1e-12 above a limit of rounding: plain sums of 40,000 rows of a type fall below it."""
+    from tallyspark import plans
+
+    event_table([i // 20 for i in range(40000)], ["view"] * 40000, [12.00000063 + 1e-12] * 40000).to_parquet(tmp_path / "events.parquet", coerce_timestamps="us")
+    got = plans.queries()["target_encoding"](spark, str(tmp_path))
+    assert got.select("user_te", "type_te").distinct().collect() == [(12000001, 12000001)]
+
+
+def test_exact_mean(spark):
+    df = spark.createDataFrame([(0.1,)] * 100000 + [(None,)], "x double").repartition(3)
+    assert abs(df.select(w.exact_mean(F.col("x"))).first()[0] - 0.1) < 1e-16
+    odd = spark.createDataFrame([(1e300, 1), (1.5, 1), (float("nan"), 2), (2.0, 2), (float("inf"), 3), (None, 4)], "x double, g int")
+    got = {g: m for g, m in odd.groupBy("g").agg(w.exact_mean(F.col("x"))).collect()}
+    assert got[1] == 5e299 and math.isnan(got[2]) and got[3] == math.inf and got[4] is None
