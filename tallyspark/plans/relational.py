@@ -200,7 +200,7 @@ def status_probability(spark, sf):
 def fallback_chain(spark, sf):
     spec = w.ordered(["user_id"], ["ts", "event_id"])
     v = F.col("value")
-    e = table(spark, sf, "events").select("event_id", "value", w.rolling(F.avg, v, spec, 10, 3).alias("a"), w.rolling(F.avg, v, spec, 20, 6).alias("b"))
+    e = table(spark, sf, "events").select("event_id", "value", w.rolling(F.avg, v, spec, 10, 3).alias("a"), w.rolling_mean_by_blocks(v, spec, 20, 6).alias("b"))
     over = lambda x, low: F.when(F.col(x) > low, F.col(x))
     return e.select("event_id", fixed(c.first_positive(over("a", 50), over("b", 40), over("value", 100), default=12.5)).alias("v"))
 

@@ -306,3 +306,23 @@ def test_exact_mean(spark):
     odd = spark.createDataFrame([(1e300, 1), (1.5, 1), (float("nan"), 2), (2.0, 2), (float("inf"), 3), (None, 4)], "x double, g int")
     got = {g: m for g, m in odd.groupBy("g").agg(w.exact_mean(F.col("x"))).collect()}
     assert got[1] == 5e299 and math.isnan(got[2]) and got[3] == math.inf and got[4] is None
+
+
+def test_mean_at_a_limit_by_blocks(spark, tmp_path):
+    """Twenty values of mean 40 beside a block's bound: the order of their sum decides whether it's above 40, also with nulls."""
+    rng, values = np.random.default_rng(3), []
+    while len(values) < 6000:
+        cents = rng.integers(100, 7900, 20)
+        cents[-1] = 80000 - cents[:-1].sum()
+        values += [*(cents / 100), *[None] * int(rng.integers(0, 4)), 0.5]
+    assert like_sql(spark, "fallback_chain", tmp_path, {"events": event_table([1] * len(values), ["view"] * len(values), values)})
+
+
+def test_rolling_mean_by_blocks(spark):
+    df = spark.createDataFrame([(i % 2, i, None if i % 7 == 0 else i * 0.1) for i in range(300)], "k int, t int, x double")
+    spec = w.ordered(["k"], ["t"])
+    for n in (5, 17, 20, 31):
+        both = df.select(w.rolling_mean_by_blocks(F.col("x"), spec, n, 3).alias("a"), w.rolling(F.avg, F.col("x"), spec, n, 3).alias("b"))
+        assert all((a is None) == (b is None) and (a is None or abs(a - b) < 1e-12) for a, b in both.collect())
+    with pytest.raises(ValueError):
+        w.rolling_mean_by_blocks(F.col("x"), spec, 32)
